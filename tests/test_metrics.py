@@ -1,0 +1,134 @@
+from basketflow import operators as op
+from tests.conftest import event, naive, rows
+
+
+def kinds(clock, views=0, carts=0, purchases=0, **more):
+    return (
+        [event(clock, "view", **more)] * views
+        + [event(clock, "add_to_cart", **more)] * carts
+        + [event(clock, "purchase", **more)] * purchases
+    )
+
+
+def test_sales_window_edges_and_order(make_events):
+    events = make_events(
+        event("00:00:59.999999", "purchase", price=1.01),
+        event("00:00:00", "purchase", price=1.02),
+        event("00:01:00", "purchase", price=5.0),
+        event("00:01:30", "view", price=99.0),
+    )
+    found = [tuple(r) for r in op.sales_per_minute(events).collect()]
+    assert found == [(naive("00:01:00"), 5.0, 1, 5.0), (naive("00:00:00"), 2.03, 2, 1.02)]
+
+
+def test_sales_null_prices_count_but_do_not_weigh(make_events):
+    events = make_events(
+        event("00:00:00", "purchase", price=None),
+        event("00:01:00", "purchase", price=None),
+        event("00:01:00", "purchase", price=3.0),
+    )
+    assert rows(op.sales_per_minute(events)) == [
+        (naive("00:00:00"), None, 1, None), (naive("00:01:00"), 3.0, 2, 3.0),
+    ]
+
+
+def test_events_without_time_are_in_no_window(make_events):
+    events = make_events(event(None, "purchase"), event(None, "view"))
+    assert op.sales_per_minute(events).isEmpty()
+    assert op.conversion_rate(events).isEmpty()
+    assert op.top_viewed_products(events).count() == 1
+
+
+def test_top_viewed_products_ties_and_null_group(make_events):
+    events = make_events(
+        *[event(product=9)] * 3, *[event(product=4)] * 2, *[event(product=2)] * 2,
+        event(product=1, category=None), event(product=7, kind="purchase"),
+    )
+    found = [tuple(r) for r in op.top_viewed_products(events, 3).collect()]
+    assert found == [(9, "Toys", 3), (2, "Toys", 2), (4, "Toys", 2)]
+    assert (1, None, 1) in [tuple(r) for r in op.top_viewed_products(events).collect()]
+
+
+def test_average_ticket(make_events):
+    events = make_events(
+        event(kind="purchase", user=1, price=1.01), event(kind="purchase", user=1, price=1.02),
+        event(kind="purchase", user=2, price=50.0), event(kind="view", user=2, price=900.0),
+        event(kind="purchase", user=3, price=None),
+    )
+    found = [tuple(r) for r in op.average_ticket_per_user(events).collect()]
+    assert found == [(2, 50.0, 50.0, 1), (1, 1.02, 2.03, 2), (3, None, None, 1)]
+
+
+def test_conversion_rates(make_events):
+    events = make_events(
+        *kinds("00:00:00", views=1, carts=3, purchases=2),
+        *kinds("00:01:00", carts=2, purchases=1),
+        event("00:02:00", "signup"),
+        *kinds("00:03:00", views=3, carts=1),
+    )
+    found = [tuple(r) for r in op.conversion_rate(events).collect()]
+    assert found == [
+        (naive("00:03:00"), 3, 1, 0, 33.33, 0.0, 0.0),
+        (naive("00:02:00"), 0, 0, 0, 0.0, 0.0, 0.0),
+        (naive("00:01:00"), 0, 2, 1, 0.0, 50.0, 0.0),
+        (naive("00:00:00"), 1, 3, 2, 300.0, 66.67, 200.0),
+    ]
+
+
+def test_conversion_rate_half_up(make_events):
+    events = make_events(*kinds("00:00:00", views=800, carts=1))
+    assert op.conversion_rate(events).first().view_to_cart_rate == 0.13
+
+
+def test_visits_by_category(make_events):
+    events = make_events(
+        *kinds("00:00:10", views=2, carts=1), *kinds("00:00:20", purchases=1, category="Books"),
+        event("00:00:30", "signup", category="Tech"), event("00:00:40", category=None),
+    )
+    start, end = naive("00:00:00"), naive("00:01:00")
+    assert rows(op.visits_by_category(events)) == rows_of(
+        (start, end, "Toys", 2, 1, 0), (start, end, "Books", 0, 0, 1), (start, end, None, 1, 0, 0)
+    )
+    assert rows(op.visits_by_category(events, time_col="event_time")) == rows(
+        op.visits_by_category(events)
+    )
+
+
+def rows_of(*values):
+    return sorted(values, key=lambda r: tuple(map(str, r)))
+
+
+def test_demand_peaks_threshold_is_strict(make_events):
+    events = make_events(
+        *kinds("00:00:10", views=6, carts=4), *kinds("00:00:10", views=10, city="Manta"),
+        event("00:00:11", "signup", city="Manta"),
+    )
+    assert rows(op.demand_peaks(events)) == [(naive("00:00:00"), "Toys", "Manta", 11)]
+    assert op.demand_peaks(events, threshold=9).count() == 2
+
+
+def test_widths(make_events):
+    events = make_events(event("00:00:10", "purchase"), event("00:59:00", "purchase"))
+    assert op.sales_per_minute(events).count() == 2
+    assert op.sales_per_minute(events, width="1 hour").count() == 1
+
+
+def test_windows_before_the_epoch_are_aligned_too(spark):
+    frame = spark.sql(
+        "SELECT 'purchase' AS event_type, 1.0D AS price, timestamp'1969-12-31 23:59:30' AS event_time"
+    )
+    assert str(op.sales_per_minute(frame).first().minute) == "1969-12-31 23:59:00"
+
+
+def test_result_types(make_events):
+    events = make_events(event())
+    types = {
+        op.sales_per_minute: "timestamp double bigint double",
+        op.top_viewed_products: "int string bigint",
+        op.average_ticket_per_user: "int double double bigint",
+        op.conversion_rate: "timestamp bigint bigint bigint double double double",
+        op.visits_by_category: "timestamp timestamp string bigint bigint bigint",
+        op.demand_peaks: "timestamp string string bigint",
+    }
+    for operator, wanted in types.items():
+        assert " ".join(t for _, t in operator(events).dtypes) == wanted
