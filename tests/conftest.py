@@ -24,6 +24,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)

@@ -1,0 +1,77 @@
+import pytest
+
+from basketflow.sources import kafka_options, read_events_kafka
+from basketflow.streaming import write_events_kafka
+from tests.conftest import event
+
+
+def test_defaults():
+    assert kafka_options() == {
+        "kafka.bootstrap.servers": "localhost:9092",
+        "subscribe": "stream_in",
+        "startingOffsets": "latest",
+        "failOnDataLoss": "false",
+        "maxOffsetsPerTrigger": "1000",
+    }
+
+
+def test_several_topics_without_a_cap():
+    options = kafka_options(topics=["a", "b", "c"], max_per_trigger=None)
+    assert options["subscribe"] == "a,b,c"
+    assert "maxOffsetsPerTrigger" not in options
+
+
+def test_from_the_beginning_on_another_server():
+    options = kafka_options("broker:1", "t", starting="earliest", min_partitions=64)
+    assert options["kafka.bootstrap.servers"] == "broker:1"
+    assert options["startingOffsets"] == "earliest"
+    assert options["minPartitions"] == "64"
+
+
+def test_no_topic_is_refused():
+    with pytest.raises(ValueError):
+        kafka_options(topics=[])
+
+
+class Recorder:
+    """Stands in for a reader or writer and notes what it is told."""
+
+    def __init__(self):
+        self.told = {}
+
+    def format(self, name):
+        self.told["format"] = name
+        return self
+
+    def options(self, **options):
+        self.told |= options
+        return self
+
+    def load(self):
+        return self.told
+
+    def save(self):
+        self.told["saved"] = True
+
+
+def test_reader_hands_the_options_to_the_source():
+    class Session:
+        readStream = Recorder()
+
+    assert read_events_kafka(Session(), topics="t", starting="earliest") == {
+        "format": "kafka", **kafka_options(topics="t", starting="earliest")
+    }
+
+
+def test_batch_writer(monkeypatch, make_events):
+    recorder = Recorder()
+    monkeypatch.setattr(type(make_events(event())), "write", recorder)
+    assert write_events_kafka(make_events(event()), "broker:1", "t") is None
+    assert recorder.told == {
+        "format": "kafka", "kafka.bootstrap.servers": "broker:1", "topic": "t", "saved": True
+    }
+
+
+def test_missing_connector_is_reported(spark):
+    with pytest.raises(Exception, match="kafka"):
+        read_events_kafka(spark)

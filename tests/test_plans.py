@@ -1,0 +1,122 @@
+"""What the optimizer makes of the operators: the shape that has to hold at scale."""
+
+import re
+
+import pytest
+
+from basketflow import operators as op
+from basketflow.schema import EVENT_SCHEMA
+from basketflow.sources import parse_events, read_result
+from tests.conftest import event
+
+OPERATORS = [
+    op.sales_per_minute, op.top_viewed_products, op.average_ticket_per_user,
+    op.conversion_rate, op.visits_by_category, op.demand_peaks,
+    op.aggregate_by_user, op.aggregate_by_category, op.aggregate_by_product,
+]
+
+
+@pytest.fixture(scope="module")
+def stored_events(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("events") / "t")
+    columns = [[event().get(name) for name in EVENT_SCHEMA.names]]
+    frame = spark.createDataFrame(columns, EVENT_SCHEMA)
+    frame.withColumn("event_time", frame.timestamp).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def physical(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("operator", OPERATORS, ids=lambda o: o.__name__)
+def test_one_hash_aggregation_with_partial_sums(stored_events, operator):
+    plan = physical(operator(stored_events))
+    assert plan.count("partial_") >= 1
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    for unwanted in ("Python", "Cartesian", "NestedLoop", "SinglePartition"):
+        assert unwanted not in plan
+
+
+@pytest.mark.parametrize("operator", OPERATORS, ids=lambda o: o.__name__)
+def test_scan_reads_the_named_fields_only(stored_events, operator):
+    plan = physical(operator(stored_events))
+    read = re.search(r"ReadSchema: struct<([^\n]*)>", plan).group(1)
+    names = {part.split(":")[0] for part in read.split(",")}
+    assert names - {"event_time"} <= set(operator.fields)
+
+
+@pytest.mark.parametrize(
+    "operator, pushed",
+    [
+        (op.sales_per_minute, "EqualTo(event_type,purchase)"),
+        (op.top_viewed_products, "EqualTo(event_type,view)"),
+        (op.average_ticket_per_user, "EqualTo(event_type,purchase)"),
+        (op.visits_by_category, "In(event_type,"),
+    ],
+    ids=lambda v: getattr(v, "__name__", None),
+)
+def test_filters_reach_the_scan(stored_events, operator, pushed):
+    assert pushed in physical(operator(stored_events))
+
+
+@pytest.mark.parametrize("operator", OPERATORS, ids=lambda o: o.__name__)
+def test_json_is_parsed_once_and_only_for_the_named_fields(spark, operator):
+    raw = spark.createDataFrame([("{}",)], "value string")
+    frame = operator(parse_events(raw, fields=operator.fields))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert "store_id" not in plan
+
+
+def test_top_n_is_not_a_full_sort(stored_events):
+    plan = physical(op.top_viewed_products(stored_events))
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_newest_window_is_pushed_into_the_second_scan(spark, stored_events, tmp_path):
+    path = str(tmp_path / "t")
+    op.aggregate_by_category(stored_events).write.parquet(path)
+    report = op.latest_category_activity(read_result(spark, path, "categories"))
+    plan = physical(report)
+    assert "EqualTo(window_start,ScalarSubquery" in plan
+    assert "Join" not in plan
+
+
+def test_a_hot_key_reaches_the_shuffle_as_one_row_per_partition(spark, tmp_path):
+    rows = spark.range(0, 90_000, 1, 6).selectExpr(
+        "cast(if(id % 3 = 0, -1, id) as int) AS user_id",
+        "'purchase' AS event_type",
+        "1.25D AS price",
+        "timestamp'2025-01-01 00:00:00' AS event_time",
+    )
+    hot = op.aggregate_by_user(rows.where("user_id = -1"))
+    hot.collect()
+    metrics = re.search(
+        r"shuffle records written[^0-9]*([\d,]+)", _metrics(hot).replace("\n", " ")
+    )
+    assert metrics and int(metrics.group(1).replace(",", "")) <= 6
+    assert op.aggregate_by_user(rows).where("user_id = -1").first().total_spent == 30_000 * 1.25
+
+
+def _metrics(frame):
+    """Name and value of the metrics of every node of the executed plan."""
+    found, nodes = [], [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        metrics = node.metrics()
+        iterator = metrics.iterator()
+        while iterator.hasNext():
+            metric = iterator.next()._2()
+            found.append(f"{metric.name().get()} {metric.value()}")
+        children = node.children().iterator()
+        while children.hasNext():
+            nodes.append(children.next())
+    return "\n".join(found)
