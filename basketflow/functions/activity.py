@@ -4,20 +4,20 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
-def is_kind(*kinds: str) -> Column:
-    """Whether the event is of one of ``kinds``."""
-    event_type = F.col("event_type")
-    return event_type == kinds[0] if len(kinds) == 1 else event_type.isin(*kinds)
+def is_kind(*kinds: str) -> str:
+    """SQL predicate: the event is of one of ``kinds``."""
+    listed = ", ".join(f"'{kind}'" for kind in kinds)
+    return f"event_type IN ({listed})"
 
 
 def tally(kind: str) -> Column:
     """Number of events of one kind in the group, 0 when there are none."""
-    return F.count_if(is_kind(kind))
+    return F.expr(f"count_if({is_kind(kind)})")
 
 
-def percent(part: Column, base: Column) -> Column:
-    """``part`` in percent of ``base`` to two decimals, 0.0 when there is no base."""
-    return F.round(F.coalesce(F.try_divide(part * 100.0, base), F.lit(0.0)), 2)
+def percent(part: str, base: str) -> Column:
+    """Column ``part`` in percent of ``base`` to two decimals, 0.0 when there is no base."""
+    return F.expr(f"round(coalesce(try_divide({part} * 100D, {base}), 0D), 2)")
 
 
 def tumbling(events: DataFrame, width: str, *keys: str, on: str = "event_time") -> GroupedData:

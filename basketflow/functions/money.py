@@ -8,39 +8,46 @@ are, is split into two whole numbers (units and millionths) whose bigint sums ar
 stay inside generated code and cannot overflow at any realistic volume. Every other
 price (more places, a billion and above, NaN, infinite) is added up as a double beside
 them, so no value is left out.
+
+Amounts are SQL expressions over the columns of the frame.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MILLION = 1_000_000.0
-_LARGEST_SPLIT = 1_000_000_000.0
 
+def _sum_over(amount: str, n: str) -> str:
+    """The sum of ``amount`` divided by ``n``.
 
-def exact_sum(amount: Column) -> Column:
-    """Sum of a double column: null when every value is null, as with ``sum``."""
-    millionths = F.rint(amount * _MILLION)
-    splits = (F.abs(amount) < _LARGEST_SPLIT) & (millionths / _MILLION == amount)
-    whole = F.floor(amount)
-    rest = (millionths - whole * _MILLION).cast("bigint")
+    The whole numbers meet in one division, which gives the double nearest to the true
+    quotient: dividing first by a million and then by ``n`` could miss a half cent.
+    """
+    millionths = f"rint(({amount}) * 1e6D)"
+    splits = f"abs({amount}) < 1e9D AND {millionths} / 1e6D = ({amount})"
+    units = f"sum(if({splits}, floor({amount}), null))"
+    rest = f"sum(if({splits}, cast({millionths} - floor({amount}) * 1e6D AS bigint), null))"
+    others = f"sum(if({splits}, null, {amount}))"
+    whole = f"({units} * 1e6D + {rest})"
+    return (
+        f"coalesce(try_divide({others} + coalesce({whole} / 1e6D, 0D), {n}),"
+        f" try_divide({whole}, {n} * 1e6D))"
+    )
 
-    sum_whole = F.sum(F.when(splits, whole))
-    sum_rest = F.sum(F.when(splits, rest))
-    sum_other = F.sum(F.when(~splits, amount))
 
-    split_total = (sum_whole * _MILLION + sum_rest) / F.lit(_MILLION)
-    return F.coalesce(sum_other + F.coalesce(split_total, F.lit(0.0)), split_total)
+def exact_sum(amount: str) -> Column:
+    """Sum of a double: null when every value is null, as with ``sum``."""
+    return F.expr(_sum_over(amount, "1"))
 
 
-def exact_mean(amount: Column, counted: Column | None = None) -> Column:
+def exact_mean(amount: str, counted: str | None = None) -> Column:
     """Mean of ``amount``; null when nothing is counted.
 
     ``counted`` gives the values that make up the divisor where that is not ``amount``
     itself: a sum in which other rows weigh 0 can then serve the mean as well.
     """
-    return F.try_divide(exact_sum(amount), F.count(amount if counted is None else counted))
+    return F.expr(_sum_over(amount, f"count({counted or amount})"))
 
 
-def cents(value: Column) -> Column:
+def cents(value: Column | str) -> Column:
     """Two decimals, halves away from zero."""
     return F.round(value, 2)

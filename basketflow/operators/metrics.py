@@ -28,16 +28,16 @@ def sales_per_minute(
 
     ``ordered=False`` leaves out the sort, which streams allow in complete mode only.
     """
-    price = F.col("price")
     sales = (
         tumbling(events.where(is_kind(PURCHASE)), width)
         .agg(
-            exact_sum(price).alias("total_sales"),
+            exact_sum("price").alias("total_sales"),
             F.count("*").alias("total_transactions"),
-            cents(exact_mean(price)).alias("avg_transaction"),
+            cents(exact_mean("price")).alias("avg_transaction"),
+        )
+        .selectExpr(
+            "span.start AS minute", "total_sales", "total_transactions", "avg_transaction"
         )
-        .withColumn("minute", F.col("span.start"))
-        .select("minute", "total_sales", "total_transactions", "avg_transaction")
     )
     return sales.orderBy(F.desc("minute")) if ordered else sales
 
@@ -57,13 +57,12 @@ def top_viewed_products(events: DataFrame, n: int = 5) -> DataFrame:
 @reads("event_type", "user_id", "price")
 def average_ticket_per_user(events: DataFrame) -> DataFrame:
     """Mean, sum and number of each user's purchases, biggest spender first."""
-    price = F.col("price")
     return (
         events.where(is_kind(PURCHASE))
         .groupBy("user_id")
         .agg(
-            cents(exact_mean(price)).alias("avg_ticket"),
-            cents(exact_sum(price)).alias("total_spent"),
+            cents(exact_mean("price")).alias("avg_ticket"),
+            cents(exact_sum("price")).alias("total_spent"),
             F.count("*").alias("purchase_count"),
         )
         .orderBy(F.desc("total_spent"), "user_id")
@@ -79,21 +78,21 @@ def conversion_rate(
     Ratios of counts, not of users, so they may exceed 100. A bucket with none of the
     three kinds still gives a row of zeros.
     """
-    views, carts, purchases = tally(VIEW), tally(ADD_TO_CART), tally(PURCHASE)
     rates = (
         tumbling(events, width)
         .agg(
-            views.alias("views"),
-            carts.alias("carts"),
-            purchases.alias("purchases"),
-            percent(carts, views).alias("view_to_cart_rate"),
-            percent(purchases, carts).alias("cart_to_purchase_rate"),
-            percent(purchases, views).alias("overall_conversion"),
+            tally(VIEW).alias("views"),
+            tally(ADD_TO_CART).alias("carts"),
+            tally(PURCHASE).alias("purchases"),
         )
-        .withColumn("minute", F.col("span.start"))
         .select(
-            "minute", "views", "carts", "purchases",
-            "view_to_cart_rate", "cart_to_purchase_rate", "overall_conversion",
+            F.col("span.start").alias("minute"),
+            "views",
+            "carts",
+            "purchases",
+            percent("carts", "views").alias("view_to_cart_rate"),
+            percent("purchases", "carts").alias("cart_to_purchase_rate"),
+            percent("purchases", "views").alias("overall_conversion"),
         )
     )
     return rates.orderBy(F.desc("minute")) if ordered else rates
@@ -108,15 +107,18 @@ def visits_by_category(
     ``timestamp`` carries no watermark, which ties a stream to complete mode;
     ``time_col="event_time"`` makes append mode possible.
     """
+    shopping = events.where(is_kind(VIEW, ADD_TO_CART, PURCHASE))
     return (
-        tumbling(events.where(is_kind(VIEW, ADD_TO_CART, PURCHASE)), width, "category", on=time_col)
+        tumbling(shopping, width, "category", on=time_col)
         .agg(
             tally(VIEW).alias("views"),
             tally(ADD_TO_CART).alias("add_to_cart"),
             tally(PURCHASE).alias("purchases"),
         )
-        .withColumns({"window_start": F.col("span.start"), "window_end": F.col("span.end")})
-        .select("window_start", "window_end", "category", "views", "add_to_cart", "purchases")
+        .selectExpr(
+            "span.start AS window_start", "span.end AS window_end", "category",
+            "views", "add_to_cart", "purchases",
+        )
     )
 
 
@@ -129,6 +131,5 @@ def demand_peaks(
         tumbling(events, width, "category", "city")
         .agg(F.count("*").alias("event_count"))
         .where(F.col("event_count") > threshold)
-        .withColumn("peak_time", F.col("span.start"))
-        .select("peak_time", "category", "city", "event_count")
+        .selectExpr("span.start AS peak_time", "category", "city", "event_count")
     )

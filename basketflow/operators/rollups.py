@@ -18,8 +18,9 @@ def _rollup(events: DataFrame, width: str, keys: list[str], money: dict[str, Col
     return (
         tumbling(events, width, *keys)
         .agg(*[value.alias(name) for name, value in columns.items()])
-        .withColumns({"window_start": F.col("span.start"), "window_end": F.col("span.end")})
-        .select("window_start", "window_end", *keys, *columns)
+        .selectExpr(
+            "span.start AS window_start", "span.end AS window_end", *keys, *columns
+        )
     )
 
 
@@ -28,9 +29,8 @@ def _takings(total: str, mean: str) -> dict[str, Column]:
 
     The mean divides that same sum, so one set of partial sums serves both.
     """
-    price = F.col("price")
-    paid = F.when(is_kind(PURCHASE), price)
-    weighed = paid.otherwise(0.0)
+    paid = f"CASE WHEN {is_kind(PURCHASE)} THEN price END"
+    weighed = f"CASE WHEN {is_kind(PURCHASE)} THEN price ELSE 0D END"
     return {total: exact_sum(weighed), mean: exact_mean(weighed, counted=paid)}
 
 

@@ -4,8 +4,7 @@ That table has no product, category or place, so they follow from the columns it
 same mapping is written in SQL in :mod:`basketflow.plans.oracles`.
 """
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from basketflow.schema import ADD_TO_CART
 
@@ -15,29 +14,28 @@ CITIES = ["Guayaquil", "Quito", "Cuenca", "Manta"]
 PROVINCES = ["Guayas", "Pichincha", "Azuay", "Manabí"]
 
 
-def _pick(names: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(name) for name in names]), index.cast("int"))
+def _pick(names: list[str], index: str) -> str:
+    listed = ", ".join(f"'{name}'" for name in names)
+    return f"get(array({listed}), cast({index} AS int))"
 
 
 def retail_view(events: DataFrame) -> DataFrame:
     """Batch or streaming ``events`` -> the columns of ``EVENT_SCHEMA``."""
-    event_id, user_id, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    product_id = F.col("k")
-    city = user_id % 4
+    province = "if(user_id % 4 < 3, user_id % 4, event_id % 4)"
     # ``k`` gets a step of its own, so that the JSON is read once for its two uses.
-    return events.withColumn("k", F.get_json_object("props", "$.k").try_cast("int")).select(
-        user_id.try_cast("int").alias("user_id"),
-        product_id.alias("product_id"),
-        _pick(CATEGORIES, product_id % 5).alias("category"),
-        F.when(kind == "click", ADD_TO_CART).otherwise(kind).alias("event_type"),
-        F.col("value").alias("price"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.format_string("ST%03d", event_id % 99 + 1).alias("store_id"),
-        F.when(event_id % 2 == 0, "physical_store").otherwise("online_store").alias("store_type"),
-        _pick(CITIES, city).alias("city"),
-        _pick(PROVINCES, F.when(city < 3, city).otherwise(event_id % 4)).alias("province"),
-        F.struct(
-            (event_id % 181 - 90).cast("double").alias("lat"),
-            (event_id % 361 - 180).cast("double").alias("lon"),
-        ).alias("location"),
+    return events.selectExpr(
+        "*", "try_cast(get_json_object(props, '$.k') AS int) AS k"
+    ).selectExpr(
+        "try_cast(user_id AS int) AS user_id",
+        "k AS product_id",
+        f"{_pick(CATEGORIES, 'k % 5')} AS category",
+        f"if(event_type = 'click', '{ADD_TO_CART}', event_type) AS event_type",
+        "value AS price",
+        "cast(ts AS timestamp) AS timestamp",
+        "format_string('ST%03d', event_id % 99 + 1) AS store_id",
+        "if(event_id % 2 = 0, 'physical_store', 'online_store') AS store_type",
+        f"{_pick(CITIES, 'user_id % 4')} AS city",
+        f"{_pick(PROVINCES, province)} AS province",
+        "named_struct('lat', cast(event_id % 181 - 90 AS double),"
+        " 'lon', cast(event_id % 361 - 180 AS double)) AS location",
     )

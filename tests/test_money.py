@@ -14,8 +14,7 @@ from basketflow.functions import cents, exact_mean, exact_sum
 def total(spark):
     def compute(values):
         frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
-        v = F.col("v")
-        return tuple(frame.agg(exact_sum(v), cents(exact_mean(v))).first())
+        return tuple(frame.agg(exact_sum("v"), cents(exact_mean("v"))).first())
 
     return compute
 
@@ -29,6 +28,21 @@ def test_half_cent_goes_up(total):
     assert total([-1.01, -1.02]) == (-2.03, -1.02)
 
 
+def test_half_cents_of_longer_lists(total):
+    assert total([400.0, 37.58] + [0.0] * 10) == (437.58, 36.47)
+    assert total([252.95] + [0.0] * 9) == (252.95, 25.3)
+
+
+@pytest.mark.parametrize("n", [2, 4, 8, 12, 20, 40, 80, 120])
+def test_every_tie_goes_up(spark, n):
+    # Sums of whole cents whose n-th part ends in half a cent.
+    frame = spark.range(1, 1001).selectExpr(
+        "id", f"(id * {n} + {n // 2}) / 100D AS total", f"explode(sequence(1, {n})) AS part"
+    ).selectExpr("id", "if(part = 1, total, 0D) AS v")
+    means = frame.groupBy("id").agg(cents(exact_mean("v")).alias("m"))
+    assert means.where("m != (id + 1) / 100D").isEmpty()
+
+
 def test_sum_equals_the_decimal_sum_in_any_order(total):
     chance = random.Random(7)
     values = [round(chance.uniform(5, 1500), 2) for _ in range(3000)]
@@ -70,5 +84,5 @@ def test_prices_with_many_decimals_keep_them(total):
 def test_sums_beyond_the_range_of_scaled_integers(spark):
     # 40 million rows of 999,999,999.99: 4e16 units, more than a bigint of millionths holds.
     frame = spark.range(0, 40_000_000, 1, 8).select(F.lit(999_999_999.99).alias("v"))
-    found = frame.agg(exact_sum(F.col("v")).alias("s")).first().s
+    found = frame.agg(exact_sum("v").alias("s")).first().s
     assert found == pytest.approx(40_000_000 * 999_999_999.99, rel=1e-15)
