@@ -20,7 +20,8 @@ def _sum_over(amount: str, n: str) -> str:
     """The sum of ``amount`` divided by ``n``.
 
     The whole numbers meet in one division, which gives the double nearest to the true
-    quotient: dividing first by a million and then by ``n`` could miss a half cent.
+    quotient (for sums up to nine billion; beyond, a double has no more digits to give).
+    Dividing first by a million and then by ``n`` could miss a half cent.
     """
     millionths = f"rint(({amount}) * 1e6D)"
     splits = f"abs({amount}) < 1e9D AND {millionths} / 1e6D = ({amount})"
@@ -39,13 +40,14 @@ def exact_sum(amount: str) -> Column:
     return F.expr(_sum_over(amount, "1"))
 
 
-def exact_mean(amount: str, counted: str | None = None) -> Column:
+def exact_mean(amount: str, where: str | None = None) -> Column:
     """Mean of ``amount``; null when nothing is counted.
 
-    ``counted`` gives the values that make up the divisor where that is not ``amount``
-    itself: a sum in which other rows weigh 0 can then serve the mean as well.
+    ``where`` picks the rows that make up the divisor: a sum in which other rows weigh 0
+    can then serve the mean as well.
     """
-    return F.expr(_sum_over(amount, f"count({counted or amount})"))
+    n = f"count({amount})" if where is None else f"count_if({where})"
+    return F.expr(_sum_over(amount, n))
 
 
 def cents(value: Column | str) -> Column:

@@ -7,52 +7,55 @@ from basketflow.functions import cents, exact_mean, exact_sum, is_kind, reads, t
 from basketflow.schema import ADD_TO_CART, PURCHASE, VIEW
 
 
-def _rollup(events: DataFrame, width: str, keys: list[str], money: dict[str, Column]) -> DataFrame:
-    """Counts of the three kinds and the ``money`` columns per time bucket and ``keys``."""
-    counts = {
+def _rollup(
+    events: DataFrame,
+    width: str,
+    keys: list[str],
+    total: str,
+    mean: str,
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Counts of the three kinds, takings and ``extra`` per time bucket and ``keys``.
+
+    ``total`` names the sum of purchase prices, in which other events weigh 0, and ``mean``
+    the mean over priced purchases alone. It divides that same sum, so one set of partial
+    sums serves both.
+    """
+    purchased = is_kind(PURCHASE)
+    columns = {
         "total_views": tally(VIEW),
         "total_carts": tally(ADD_TO_CART),
         "total_purchases": tally(PURCHASE),
-    }
-    columns = counts | {name: cents(value) for name, value in money.items()}
+        total: cents(exact_sum("weighed")),
+        mean: cents(exact_mean("weighed", where=f"{purchased} AND price IS NOT NULL")),
+    } | (extra or {})
+    # Weighed before the aggregation, so that its many uses there read a column.
+    weighed = events.withColumn("weighed", F.expr(f"if({purchased}, price, 0D)"))
     return (
-        tumbling(events, width, *keys)
+        tumbling(weighed, width, *keys)
         .agg(*[value.alias(name) for name, value in columns.items()])
-        .selectExpr(
-            "span.start AS window_start", "span.end AS window_end", *keys, *columns
-        )
+        .selectExpr("span.start AS window_start", "span.end AS window_end", *keys, *columns)
     )
 
 
-def _takings(total: str, mean: str) -> dict[str, Column]:
-    """Sum of purchase prices, other events weighing 0, and mean over purchases alone.
-
-    The mean divides that same sum, so one set of partial sums serves both.
-    """
-    paid = f"CASE WHEN {is_kind(PURCHASE)} THEN price END"
-    weighed = f"CASE WHEN {is_kind(PURCHASE)} THEN price ELSE 0D END"
-    return {total: exact_sum(weighed), mean: exact_mean(weighed, counted=paid)}
-
-
 @reads("event_type", "user_id", "price", "timestamp")
 def aggregate_by_user(events: DataFrame, width: str = "5 minutes") -> DataFrame:
     """Roll-up per user."""
-    return _rollup(events, width, ["user_id"], _takings("total_spent", "avg_ticket"))
+    return _rollup(events, width, ["user_id"], "total_spent", "avg_ticket")
 
 
 @reads("event_type", "category", "price", "timestamp")
 def aggregate_by_category(events: DataFrame, width: str = "5 minutes") -> DataFrame:
     """Roll-up per category."""
-    return _rollup(events, width, ["category"], _takings("total_revenue", "avg_price"))
+    return _rollup(events, width, ["category"], "total_revenue", "avg_price")
 
 
 @reads("event_type", "product_id", "category", "price", "timestamp")
 def aggregate_by_product(events: DataFrame, width: str = "5 minutes") -> DataFrame:
     """Roll-up per product and category, with the price range over events of every kind."""
-    price_range = {"max_price": F.max("price"), "min_price": F.min("price")}
-    return _rollup(
-        events,
-        width,
-        ["product_id", "category"],
-        _takings("total_revenue", "avg_price") | price_range,
-    )
+    price_range = {
+        "max_price": cents(F.max("price")),
+        "min_price": cents(F.min("price")),
+    }
+    keys = ["product_id", "category"]
+    return _rollup(events, width, keys, "total_revenue", "avg_price", price_range)

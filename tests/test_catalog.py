@@ -41,3 +41,14 @@ def test_flagship(spark):
     frame = contract.entry(spark)
     assert frame.columns == ["minute", "total_sales", "total_transactions", "avg_transaction"]
     assert not frame.isEmpty()
+
+
+def test_table_of_many_files(spark, tmp_path):
+    """On a cluster the table is a folder; streams then take all its files at once."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_aggregate_by_user", "stream_conversion_rate"):
+        many = QUERIES[name](spark, str(tmp_path))
+        one = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert many.exceptAll(one).isEmpty() and one.exceptAll(many).isEmpty()
+        assert not one.isEmpty()
