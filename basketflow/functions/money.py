@@ -2,7 +2,7 @@
 
 A plain sum of doubles changes in its last digits with the order in which partitions
 arrive, and a mean that lands near half a cent then rounds up in one run and down in the
-next. A decimal sum is exact but measured about seven times slower per row when many rows
+next. A decimal sum is exact but measured about six times slower per row when many rows
 meet in few groups. Here a price that is a decimal number of at most six places, as prices
 are, is split into two whole numbers (units and millionths) whose bigint sums are exact,
 stay inside generated code and cannot overflow at any realistic volume. Every other

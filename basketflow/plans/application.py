@@ -73,6 +73,16 @@ def jobs(settings: Settings) -> list[Job]:
     return listed
 
 
+def _topics(spark: SparkSession, settings: Settings) -> DataFrame:
+    return read_events_kafka(
+        spark,
+        servers=settings.servers,
+        topics=settings.topics.split(","),
+        starting=settings.starting,
+        max_per_trigger=settings.max_per_trigger,
+    )
+
+
 def _checkpoint_root(spark: SparkSession, settings: Settings) -> str:
     """Given in the settings, or for the session's streams, or below the shared folder."""
     return (
@@ -91,14 +101,7 @@ def start(
     ``once`` processes what is there and ends. If one job cannot start, those already
     running are stopped.
     """
-    if raw is None:
-        raw = read_events_kafka(
-            spark,
-            servers=settings.servers,
-            topics=settings.topics.split(","),
-            starting=settings.starting,
-            max_per_trigger=settings.max_per_trigger,
-        )
+    raw = _topics(spark, settings) if raw is None else raw
     root = _checkpoint_root(spark, settings)
     running: list[StreamingQuery] = []
     try:
@@ -134,11 +137,13 @@ def stop(queries: list[StreamingQuery]) -> None:
 def run(spark: SparkSession, settings: Settings, raw: DataFrame | None = None) -> None:
     """Run until one query ends or fails, then stop the others and the session.
 
-    A failure is raised to the caller.
+    Prints the schema of the parsed events first. A failure is raised to the caller.
     """
     queries: list[StreamingQuery] = []
     try:
         spark.streams.resetTerminated()
+        raw = _topics(spark, settings) if raw is None else raw
+        parse_events(raw, settings.delay).printSchema()
         queries = start(spark, settings, raw)
         spark.streams.awaitAnyTermination()
     finally:

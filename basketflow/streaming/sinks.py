@@ -31,19 +31,29 @@ def start_console(
     """Print the first ``num_rows`` rows, in full width, at each trigger.
 
     The console sink brings every row it is given to the driver before it prints the first
-    few. In complete mode the frame is therefore cut on the executors to the rows shown
-    and one more, by which the sink knows to say that there are others. (A limit on an
-    append-mode stream would count over its whole life; those frames hold only the windows
-    that closed since the last trigger.)
+    few, so it is given no more than the rows shown and one, by which it knows to say that
+    there are others. That works in complete mode, where the state is committed before the
+    rows are read. In append mode a limit would count over the whole life of the stream,
+    and state partitions that nobody reads to the end are not committed; there the closed
+    windows are kept on the executors and the first rows taken from them.
     """
-    shown = frame.limit(num_rows + 1) if mode == "complete" else frame
-    return (
-        _writer(shown, mode, name, checkpoint, every, once)
-        .format("console")
-        .option("truncate", False)
-        .option("numRows", num_rows)
-        .start()
+    writer = _writer(
+        frame.limit(num_rows + 1) if mode == "complete" else frame,
+        mode, name, checkpoint, every, once,
     )
+    if mode == "complete":
+        console = writer.format("console").option("truncate", False)
+        return console.option("numRows", num_rows).start()
+
+    def show_first(closed: DataFrame, batch_id: int) -> None:
+        kept = closed.persist()
+        try:
+            print(f"{name}, batch {batch_id}, rows: {kept.count()}")
+            kept.show(num_rows, truncate=False)
+        finally:
+            kept.unpersist()
+
+    return writer.foreachBatch(show_first).start()
 
 
 def start_parquet(

@@ -1,6 +1,11 @@
 import pytest
 
-from basketflow.sources import kafka_options, read_events_kafka
+from basketflow.sources import (
+    kafka_options,
+    parse_events,
+    read_events_files,
+    read_events_kafka,
+)
 from basketflow.streaming import write_events_kafka
 from tests.conftest import event
 
@@ -75,3 +80,9 @@ def test_batch_writer(monkeypatch, make_events):
 def test_missing_connector_is_reported(spark):
     with pytest.raises(Exception, match="kafka"):
         read_events_kafka(spark)
+
+
+def test_stream_writer_uses_the_kafka_sink(spark, drop_files, tmp_path):
+    events = parse_events(read_events_files(spark, drop_files([event()])))
+    with pytest.raises(Exception, match="kafka"):
+        write_events_kafka(events, "broker:1", "t", checkpoint=str(tmp_path / "c"))

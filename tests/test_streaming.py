@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from basketflow import operators as op
@@ -185,6 +187,67 @@ def test_console_is_given_no_more_rows_than_it_shows(spark, drop_files, tmp_path
     assert query.recentProgress[0]["sink"]["numOutputRows"] == 11
 
 
+def test_console_limit_leaves_the_state_whole(spark, drop_files, tmp_path):
+    batches = [
+        [event(f"00:00:{i:02d}", category=f"c{b}-{i}") for i in range(50)] for b in range(3)
+    ]
+    raw = read_events_files(spark, drop_files(*batches), max_files=1)
+    query = start_console(
+        op.visits_by_category(parse_events(raw)), "many", num_rows=2, once=True,
+        checkpoint=str(tmp_path / "c"),
+    )
+    query.awaitTermination()
+    assert [p["sink"]["numOutputRows"] for p in query.recentProgress] == [3, 3, 3]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 150
+
+
+def test_console_in_append_mode(spark, drop_files, tmp_path, capsys):
+    crowd = [event("00:00:10", category=f"c{i % 9}") for i in range(99)]
+    folder = drop_files(crowd, [event("00:10:00")], [event("00:20:00")])
+
+    def run():
+        raw = read_events_files(spark, folder, max_files=1)
+        query = start_console(
+            op.demand_peaks(parse_events(raw)), "peaks", mode="append", num_rows=4, once=True,
+            checkpoint=str(tmp_path / "c"),
+        )
+        query.awaitTermination()
+        return capsys.readouterr().out
+
+    printed = run()
+    assert "rows: 9" in printed and "only showing top 4 rows" in printed
+    assert len(re.findall(r"\|c\d", printed)) == 4
+    drop_files([event("00:30:00", category="z")] * 11, [event("00:50:00")])
+    later = run()
+    assert "rows: 1" in later and "|z " in later and not re.search(r"\|c\d", later)
+
+
+def test_triggers_and_names(spark, drop_files, tmp_path):
+    folder = drop_files([event("00:00:10")], [event("00:10:00")])
+    users = op.aggregate_by_user(parse_events(read_events_files(spark, folder)))
+    query = start_parquet(
+        users, str(tmp_path / "t"), str(tmp_path / "c"), "every_second", every="1 second"
+    )
+    try:
+        query.processAllAvailable()
+        assert query.isActive and query.name == "every_second"
+        assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    finally:
+        query.stop()
+
+
+def test_default_checkpoint_root_of_the_session(spark, drop_files, tmp_path):
+    spark.conf.set("spark.sql.streaming.checkpointLocation", str(tmp_path / "root"))
+    try:
+        raw = read_events_files(spark, drop_files([event()]))
+        start_console(
+            op.conversion_rate(parse_events(raw)), "named", once=True
+        ).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.checkpointLocation")
+    assert (tmp_path / "root" / "named" / "offsets").is_dir()
+
+
 def test_workspace_is_new_and_below_the_shared_folder(spark):
     first, second = workspace(spark, "x"), workspace(spark, "x")
     assert first != second
