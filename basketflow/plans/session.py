@@ -2,11 +2,10 @@
 
 from pyspark.sql import SparkSession
 
-# Event times are read and bucketed in UTC. Aggregation state is kept in RocksDB, off the
-# heap and on local disk, with change logs in the checkpoint folder: state without a
-# watermark (views per product, ticket per user) grows with the number of keys.
-RUNTIME_SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
+# Aggregation state is kept in RocksDB, off the heap and on local disk, with change logs in
+# the checkpoint folder: state without a watermark (views per product, ticket per user)
+# grows with the number of keys.
+STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -15,16 +14,18 @@ RUNTIME_SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings on a session that somebody else made."""
-    for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+    """Read and bucket times in UTC, and set the state settings that are not set yet."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in STATE_SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
 def build_session(
     app_name: str = "basketflow", master: str | None = None, settings: dict | None = None
 ) -> SparkSession:
-    """A session with the library's settings.
+    """A session with the library's settings; those of spark-submit go before them.
 
     Master, executor sizes and ``spark.sql.shuffle.partitions`` are left to spark-submit.
     The latter also fixes the number of state partitions for the life of a checkpoint, so
@@ -33,7 +34,6 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    wanted = {"spark.sql.adaptive.enabled": "true"} | RUNTIME_SETTINGS | (settings or {})
-    for key, value in wanted.items():
+    for key, value in (settings or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return apply_settings(builder.getOrCreate())

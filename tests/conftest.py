@@ -5,11 +5,10 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from basketflow.plans.session import RUNTIME_SETTINGS  # noqa: E402
+from basketflow.plans.session import build_session  # noqa: E402
 from basketflow.schema import EVENT_SCHEMA  # noqa: E402
 from basketflow.sources import with_event_time  # noqa: E402
 
@@ -18,17 +17,16 @@ DAY = "2025-01-01T"
 
 @pytest.fixture(scope="session")
 def spark():
-    builder = (
-        SparkSession.builder.master("local[8]")
-        .appName("basketflow-tests")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.maxMetadataStringLength", "1000")
+    session = build_session(
+        "basketflow-tests",
+        "local[8]",
+        {
+            "spark.sql.shuffle.partitions": "4",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "1000",
+        },
     )
-    for key, value in RUNTIME_SETTINGS.items():
-        builder = builder.config(key, value)
-    session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
