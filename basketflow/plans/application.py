@@ -11,6 +11,8 @@ from basketflow.sources import parse_events, read_events_kafka
 from basketflow.sources.kafka import DEFAULT_MAX_PER_TRIGGER, DEFAULT_SERVERS, DEFAULT_TOPIC
 from basketflow.streaming import shared_root, start_console, start_parquet
 
+_POOL = "spark.scheduler.pool"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -22,6 +24,7 @@ class Settings:
     topics: str = DEFAULT_TOPIC
     starting: str = "latest"
     max_per_trigger: int | None = DEFAULT_MAX_PER_TRIGGER
+    min_partitions: int | None = None
     delay: str = "2 minutes"
     metric_width: str = "1 minute"
     table_width: str = "5 minutes"
@@ -80,6 +83,7 @@ def _topics(spark: SparkSession, settings: Settings) -> DataFrame:
         topics=settings.topics.split(","),
         starting=settings.starting,
         max_per_trigger=settings.max_per_trigger,
+        min_partitions=settings.min_partitions,
     )
 
 
@@ -99,7 +103,8 @@ def start(
 
     ``raw`` replaces the Kafka topics by another stream with a JSON ``value`` column.
     ``once`` processes what is there and ends. If one job cannot start, those already
-    running are stopped.
+    running are stopped. Each job has a scheduler pool of its own, so that under
+    ``spark.scheduler.mode=FAIR`` a long batch of one does not hold up the others.
     """
     raw = _topics(spark, settings) if raw is None else raw
     root = _checkpoint_root(spark, settings)
@@ -109,6 +114,7 @@ def start(
             events = parse_events(raw, settings.delay, job.operator.fields)
             result = job.operator(events, **job.arguments)
             checkpoint = f"{root}/{job.name}"
+            spark.sparkContext.setLocalProperty(_POOL, job.name)
             if job.table is None:
                 query = start_console(
                     result, job.name, job.mode, settings.metric_every, job.num_rows,
@@ -124,6 +130,8 @@ def start(
     except BaseException:
         stop(running)
         raise
+    finally:
+        spark.sparkContext.setLocalProperty(_POOL, None)
     return running
 
 

@@ -23,11 +23,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_event_time(retail_view(table))
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A glob, because a streaming source takes the path of a folder but not of a file.
     schema = apply_settings(spark).read.parquet(f"{sf_dir}/events.parquet").schema
-    table = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
-    return with_event_time(retail_view(table))
+    return retail_view(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_event_time(_retail_stream(spark, sf_dir))
 
 
 def _plain(frame: DataFrame) -> DataFrame:
@@ -57,16 +60,20 @@ def _stream_complete(operator: Callable[..., DataFrame], **arguments) -> Query:
     return query
 
 
+def _closed_windows(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
+    """Run an append-mode stream to its end; the Parquet table it leaves."""
+    place = workspace(spark, name)
+    run = start_parquet(result, f"{place}/table", f"{place}/checkpoint", name, once=True)
+    run.awaitTermination()
+    return _plain(spark.read.schema(result.schema).parquet(f"{place}/table"))
+
+
 def _stream_append(operator: Callable[..., DataFrame], **arguments) -> Query:
     """The operator over a stream of the table, its closed windows kept as Parquet."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = operator(_event_stream(spark, sf_dir), **arguments)
-        place = workspace(spark, operator.__name__)
-        name = f"{operator.__name__}_append"
-        run = start_parquet(result, f"{place}/table", f"{place}/checkpoint", name, once=True)
-        run.awaitTermination()
-        return _plain(spark.read.schema(result.schema).parquet(f"{place}/table"))
+        return _closed_windows(spark, result, f"{operator.__name__}_append")
 
     return query
 
@@ -83,6 +90,14 @@ def sales_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(op.sales_per_minute(parse_events(raw, fields=op.sales_per_minute.fields)))
 
 
+def stream_sales_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sales table from a stream of JSON text."""
+    raw = encode_events(_retail_stream(spark, sf_dir))
+    events = parse_events(raw, fields=op.sales_per_minute.fields)
+    sales = op.sales_per_minute(events, ordered=False)
+    return _closed_windows(spark, sales, "sales_from_json_append")
+
+
 def sales_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = op.sales_per_minute(_events(spark, sf_dir), ordered=False)
     return _plain(op.sales_series(sales))
@@ -131,5 +146,9 @@ def all_queries() -> dict[str, Query]:
         "stream_aggregate_by_user": _stream_append(op.aggregate_by_user),
         "stream_aggregate_by_category": _stream_append(op.aggregate_by_category),
         "stream_aggregate_by_product": _stream_append(op.aggregate_by_product),
+        "stream_visits_by_category_append": _stream_append(
+            op.visits_by_category, time_col="event_time"
+        ),
         "stream_sales_table": _stream_append(op.sales_per_minute, ordered=False),
+        "stream_sales_from_json": stream_sales_from_json,
     }

@@ -119,6 +119,11 @@ _BY_PRODUCT = _rollup(
     ", min(price_cents) / 100.0::DOUBLE AS min_price",
 )
 
+# Only purchases reach this query's watermark: its filter comes first.
+_CLOSED_SALES = _closed(
+    _SALES, "minute + INTERVAL '1 minute'", only="event_type = 'purchase'"
+)
+
 _BODIES = {
     "parse_events": """
         SELECT user_id, product_id, category, event_type, price, "timestamp", store_id,
@@ -154,10 +159,11 @@ _BODIES = {
     "stream_aggregate_by_user": _closed(_BY_USER, "window_end"),
     "stream_aggregate_by_category": _closed(_BY_CATEGORY, "window_end"),
     "stream_aggregate_by_product": _closed(_BY_PRODUCT, "window_end"),
-    # Only purchases reach this query's watermark: its filter comes first.
-    "stream_sales_table": _closed(
-        _SALES, "minute + INTERVAL '1 minute'", only="event_type = 'purchase'"
+    "stream_visits_by_category_append": _closed(
+        _VISITS, "window_end", only="event_type IN ('view', 'add_to_cart', 'purchase')"
     ),
+    "stream_sales_table": _CLOSED_SALES,
+    "stream_sales_from_json": _CLOSED_SALES,
 }
 
 

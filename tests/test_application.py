@@ -46,6 +46,7 @@ def test_all_queries_together(spark, drop_files, tmp_path):
     settings = Settings(str(tmp_path / "base"), str(tmp_path / "checkpoints"))
     raw = read_events_files(spark, folder)
     queries = start(spark, settings, raw, once=True)
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
     for query in queries:
         query.awaitTermination()
         assert query.exception() is None
@@ -159,10 +160,10 @@ def test_kafka_is_the_default_source(monkeypatch, spark, tmp_path):
         application, "read_events_kafka", lambda s, **k: asked.update(k) or 1 / 0
     )
     with pytest.raises(ZeroDivisionError):
-        start(spark, Settings(str(tmp_path), topics="a,b", max_per_trigger=None))
+        start(spark, Settings(str(tmp_path), topics="a,b", max_per_trigger=None, min_partitions=64))
     assert asked == {
         "servers": "localhost:9092", "topics": ["a", "b"], "starting": "latest",
-        "max_per_trigger": None,
+        "max_per_trigger": None, "min_partitions": 64,
     }
 
 
