@@ -1,4 +1,4 @@
-"""``spark-submit`` entry: ``python -m basketflow --base-path hdfs:///retail``."""
+"""Command line of the application: ``python -m basketflow --base-path /retail``."""
 
 import argparse
 from dataclasses import MISSING, fields
@@ -29,8 +29,12 @@ def _number(text: str) -> int | None:
     return None if text.lower() == "none" else int(text)
 
 
+def main(argv: list[str] | None = None) -> None:
+    settings = parse_arguments(argv)
+    spark = build_session()
+    spark.sparkContext.setLogLevel("WARN")
+    run(spark, settings)
+
+
 if __name__ == "__main__":
-    chosen = parse_arguments()
-    session = build_session()
-    session.sparkContext.setLogLevel("WARN")
-    run(session, chosen)
+    main()

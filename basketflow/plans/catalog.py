@@ -24,7 +24,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A glob, because a streaming source takes the path of a folder but not of a file.
+    # A glob, because a streaming source takes the path of a folder but not of a file. All
+    # files go into one batch: they are not in the order of event time, and with a cap the
+    # rows of later files would come late.
     schema = apply_settings(spark).read.parquet(f"{sf_dir}/events.parquet").schema
     return retail_view(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"))
 
