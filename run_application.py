@@ -2,4 +2,5 @@
 
 from basketflow.__main__ import main
 
-main()
+if __name__ == "__main__":
+    main()
