@@ -4,12 +4,14 @@ from pyspark.sql import SparkSession
 
 # Aggregation state is kept in RocksDB, off the heap and on local disk, with change logs in
 # the checkpoint folder: state without a watermark (views per product, ticket per user)
-# grows with the number of keys.
+# grows with the number of keys. All stores of an executor, many when ten queries run side
+# by side, share one memory budget (500 MB unless ``rocksdb.maxMemoryUsageMB`` says more).
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
 }
 
 
