@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketflow.llm import secret_scan
+from basketflow.llm.quality_rules import quality_verdicts
 from basketflow.llm.sharding import shard_by_bytes
 from basketflow.llm.simhash import simhash_groups
 
@@ -15,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(_table(spark, sf_dir, "documents"))
+    return verdicts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "distance",
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -29,10 +43,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     """One query for each operator; each applies it to its whole table."""
-    found = [op8_simhash_near_dedup, op10_sharding]
+    found = [op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup, op10_sharding]
     return {f.__name__: f for f in found}
 
 
 def llm_oracles() -> dict[str, str]:
     """SQL for those that SQL can express."""
-    return {}
+    return {"op6_secret_scans": secret_scan.oracle_sql()}
