@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.llm import secret_scan
+from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_rules import quality_verdicts
 from basketflow.llm.sharding import shard_by_bytes
 from basketflow.llm.simhash import simhash_groups
+from basketflow.llm.token_counts import section_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -43,7 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     """One query for each operator; each applies it to its whole table."""
-    found = [op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup, op10_sharding]
+    found = [
+        op2_sentencepiece, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
+        op9_token_counts, op10_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
