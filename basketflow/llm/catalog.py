@@ -10,6 +10,7 @@ from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_rules import quality_verdicts
 from basketflow.llm.sharding import shard_by_bytes
 from basketflow.llm.simhash import simhash_groups
+from basketflow.llm.suffix_tree import lm_scores
 from basketflow.llm.token_counts import section_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     """One query for each operator; each applies it to its whole table."""
     found = [
-        op2_sentencepiece, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
+        op1_lm_scoring, op2_sentencepiece, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
         op9_token_counts, op10_sharding,
     ]
     return {f.__name__: f for f in found}
