@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.llm import secret_scan
+from basketflow.llm.decontamination import contaminated
 from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_rules import quality_verdicts
 from basketflow.llm.sharding import shard_by_bytes
@@ -28,6 +29,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -59,8 +64,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     """One query for each operator; each applies it to its whole table."""
     found = [
-        op1_lm_scoring, op2_sentencepiece, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
-        op9_token_counts, op10_sharding,
+        op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op6_secret_scans,
+        op7_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_sharding,
     ]
     return {f.__name__: f for f in found}
 
