@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketflow.llm import secret_scan
 from basketflow.llm.decontamination import contaminated
 from basketflow.llm.pieces import encode_pieces
+from basketflow.llm.quality_classifier import quality_scores
 from basketflow.llm.quality_rules import quality_verdicts
 from basketflow.llm.sharding import shard_by_bytes
 from basketflow.llm.simhash import simhash_groups
@@ -33,6 +34,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     """One query for each operator; each applies it to its whole table."""
     found = [
-        op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op6_secret_scans,
+        op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination,
+        op5_quality_classifier, op6_secret_scans,
         op7_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_sharding,
     ]
     return {f.__name__: f for f in found}
