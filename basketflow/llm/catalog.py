@@ -14,6 +14,7 @@ from basketflow.llm.sharding import shard_by_bytes
 from basketflow.llm.simhash import simhash_groups
 from basketflow.llm.suffix_tree import lm_scores
 from basketflow.llm.token_counts import section_token_counts
+from basketflow.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,9 +74,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     """One query for each operator; each applies it to its whole table."""
     found = [
-        op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination,
-        op5_quality_classifier, op6_secret_scans,
-        op7_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_sharding,
+        op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op4_toxicity,
+        op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
+        op9_token_counts, op10_sharding,
     ]
     return {f.__name__: f for f in found}
 
