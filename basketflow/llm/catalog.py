@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +73,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    """One query for each operator; each applies it to its whole table."""
+    """One query for each operator, applied to its whole table, and the pipeline of several."""
     found = [
         op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op4_toxicity,
         op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
         op9_token_counts, op10_sharding,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def llm_oracles() -> dict[str, str]:

@@ -277,12 +277,14 @@ def quality_filter(
 ) -> DataFrame:
     """The rows that :func:`quality_verdicts` keeps, with all their columns.
 
-    The statistics are computed again for the verdict, which costs less than to move texts.
+    The rows are written once beside their statistics, so that neither is computed twice and
+    the texts need not be joined to the verdicts.
     """
-    names = {"lang": lang_col, "source": source_col}
-    stats = saved(quality_statistics(docs, names, text_col), "statistics")
-    estimates = fit_outliers(stats)
     (row,) = fresh(docs, "row")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[F.col(c) for c in {lang_col, source_col, text_col}])
-    judged = judge(quality_statistics(whole, {row: row, **names}, text_col), estimates)
-    return judged.where("kept").select(f"{row}.*")
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row),
+        *[F.col(c) for c in {lang_col, source_col, text_col}],
+    )
+    names = {"lang": lang_col, "source": source_col}
+    stats = saved(quality_statistics(whole, {row: row, **names}, text_col), "statistics")
+    return judge(stats, fit_outliers(stats)).where("kept").select(f"{row}.*")
