@@ -56,7 +56,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def transpose(values: np.ndarray) -> np.ndarray:
     """Bit planes of blocks of 64 fingerprints: ``planes[k, p]`` has bit p of the k-th 64."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").reshape(-1, 64, 8).view("<u8")[..., 0]
+    packed = np.packbits(np.ascontiguousarray(bits.transpose(0, 2, 1)), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view("<u8")[..., 0]
 
 
 def within_radius(query: np.ndarray, block: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
