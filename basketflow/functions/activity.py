@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 def is_kind(*kinds: str) -> str:
     """SQL predicate: the event is of one of ``kinds``."""
-    listed = ", ".join(f"'{kind}'" for kind in kinds)
+    escaped = [kind.replace("\\", "\\\\").replace("'", "\\'") for kind in kinds]
+    listed = ", ".join(f"'{kind}'" for kind in escaped)
     return f"event_type IN ({listed})"
 
 

@@ -55,9 +55,12 @@ def top_viewed_products(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 @reads("event_type", "user_id", "price")
-def average_ticket_per_user(events: DataFrame) -> DataFrame:
-    """Mean, sum and number of each user's purchases, biggest spender first."""
-    return (
+def average_ticket_per_user(events: DataFrame, ordered: bool = True) -> DataFrame:
+    """Mean, sum and number of each user's purchases, biggest spender first.
+
+    ``ordered=False`` leaves out the sort.
+    """
+    tickets = (
         events.where(is_kind(PURCHASE))
         .groupBy("user_id")
         .agg(
@@ -65,8 +68,8 @@ def average_ticket_per_user(events: DataFrame) -> DataFrame:
             cents(exact_sum("price")).alias("total_spent"),
             F.count("*").alias("purchase_count"),
         )
-        .orderBy(F.desc("total_spent"), "user_id")
     )
+    return tickets.orderBy(F.desc("total_spent"), "user_id") if ordered else tickets
 
 
 @reads("event_type", "timestamp")

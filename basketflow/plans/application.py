@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from basketflow import operators as op
 from basketflow.sources import parse_events, read_events_kafka
-from basketflow.sources.kafka import DEFAULT_MAX_PER_TRIGGER, DEFAULT_SERVERS, DEFAULT_TOPIC
-from basketflow.streaming import shared_root, start_console, start_parquet
+from basketflow.sources.kafka import BY_FORM, DEFAULT_SERVERS, DEFAULT_TOPIC
+from basketflow.streaming import refuse_lost_checkpoint, start_console, start_parquet
 
 _POOL = "spark.scheduler.pool"
 
@@ -23,8 +23,9 @@ class Settings:
     servers: str = DEFAULT_SERVERS
     topics: str = DEFAULT_TOPIC
     starting: str = "latest"
-    max_per_trigger: int | None = DEFAULT_MAX_PER_TRIGGER
+    max_per_trigger: int | None = BY_FORM
     min_partitions: int | None = None
+    fail_on_data_loss: bool = False
     delay: str = "2 minutes"
     metric_width: str = "1 minute"
     table_width: str = "5 minutes"
@@ -33,7 +34,7 @@ class Settings:
     top_n: int = 5
     peak_threshold: int = 10
     sales_table: bool = True
-    table_files: int | None = None
+    table_files: int | None = 4
 
 
 @dataclass(frozen=True)
@@ -84,15 +85,20 @@ def _topics(spark: SparkSession, settings: Settings) -> DataFrame:
         starting=settings.starting,
         max_per_trigger=settings.max_per_trigger,
         min_partitions=settings.min_partitions,
+        fail_on_data_loss=settings.fail_on_data_loss,
     )
 
 
 def _checkpoint_root(spark: SparkSession, settings: Settings) -> str:
-    """Given in the settings, or for the session's streams, or below the shared folder."""
+    """Given in the settings or for the session's streams, or beside the tables it belongs to.
+
+    The default stays the same from one start to the next, so that a stream resumes, and is
+    another for each base path.
+    """
     return (
         settings.checkpoint_root
         or spark.conf.get("spark.sql.streaming.checkpointLocation", None)
-        or f"{shared_root(spark)}/basketflow/streams"
+        or f"{settings.base_path.rstrip('/')}/_checkpoints"
     ).rstrip("/")
 
 
@@ -122,6 +128,7 @@ def start(
                 )
             else:
                 path = f"{settings.base_path.rstrip('/')}/{job.table}"
+                refuse_lost_checkpoint(spark, path, checkpoint)
                 query = start_parquet(
                     result, path, checkpoint, job.name, settings.table_every,
                     settings.table_files, once=once,
@@ -136,10 +143,19 @@ def start(
 
 
 def stop(queries: list[StreamingQuery]) -> None:
-    """Stop the queries that still run."""
+    """Stop the queries that still run; one that cannot be stopped does not keep the others.
+
+    The first failure is raised at the end.
+    """
+    failures = []
     for query in queries:
-        if query.isActive:
-            query.stop()
+        try:
+            if query.isActive:
+                query.stop()
+        except Exception as failure:
+            failures.append(failure)
+    if failures:
+        raise failures[0]
 
 
 def run(spark: SparkSession, settings: Settings, raw: DataFrame | None = None) -> None:
@@ -155,5 +171,7 @@ def run(spark: SparkSession, settings: Settings, raw: DataFrame | None = None) -
         queries = start(spark, settings, raw)
         spark.streams.awaitAnyTermination()
     finally:
-        stop(queries)
-        spark.stop()
+        try:
+            stop(queries)
+        finally:
+            spark.stop()

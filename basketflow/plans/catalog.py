@@ -10,7 +10,7 @@ from basketflow import operators as op
 from basketflow.plans.retail_view import retail_view
 from basketflow.plans.session import apply_settings
 from basketflow.sources import encode_events, parse_events, read_result, with_event_time
-from basketflow.streaming import start_parquet, start_snapshot, workspace
+from basketflow.streaming import read_snapshot, start_parquet, start_snapshot, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,7 @@ def _stream_complete(operator: Callable[..., DataFrame], **arguments) -> Query:
         name = f"{operator.__name__}_complete"
         run = start_snapshot(result, f"{place}/table", f"{place}/checkpoint", name, once=True)
         run.awaitTermination()
-        return _plain(spark.read.schema(result.schema).parquet(f"{place}/table"))
+        return _plain(read_snapshot(spark, f"{place}/table", result.schema))
 
     return query
 
@@ -132,6 +132,7 @@ def all_queries() -> dict[str, Query]:
         "conversion_rate": _batch(op.conversion_rate),
         "visits_by_category": _batch(op.visits_by_category),
         "demand_peaks": _batch(op.demand_peaks, width=_PEAK_WIDTH),
+        "demand_peaks_per_minute": _batch(op.demand_peaks, threshold=1),
         "aggregate_by_user": _batch(op.aggregate_by_user),
         "aggregate_by_category": _batch(op.aggregate_by_category),
         "aggregate_by_product": _batch(op.aggregate_by_product),
@@ -139,10 +140,12 @@ def all_queries() -> dict[str, Query]:
         "latest_category_activity": latest_category_activity,
         "user_behaviour": user_behaviour,
         "top_products": top_products,
-        "stream_sales_per_minute": _stream_complete(op.sales_per_minute),
+        "stream_sales_per_minute": _stream_complete(op.sales_per_minute, ordered=False),
         "stream_top_viewed_products": _stream_complete(op.top_viewed_products),
-        "stream_average_ticket_per_user": _stream_complete(op.average_ticket_per_user),
-        "stream_conversion_rate": _stream_complete(op.conversion_rate),
+        "stream_average_ticket_per_user": _stream_complete(
+            op.average_ticket_per_user, ordered=False
+        ),
+        "stream_conversion_rate": _stream_complete(op.conversion_rate, ordered=False),
         "stream_visits_by_category": _stream_complete(op.visits_by_category),
         "stream_demand_peaks": _stream_append(op.demand_peaks, width=_PEAK_WIDTH),
         "stream_aggregate_by_user": _stream_append(op.aggregate_by_user),

@@ -98,6 +98,12 @@ FROM retail GROUP BY 1, 2, 3 HAVING count(*) > 10
 """
 
 
+_PEAKS_PER_MINUTE = f"""
+SELECT {_bucket('1 minute')} AS peak_time, category, city, count(*) AS event_count
+FROM retail GROUP BY 1, 2, 3 HAVING count(*) > 1
+"""
+
+
 def _rollup(keys: str, total: str, mean: str, extra: str = "") -> str:
     return f"""
 SELECT {_bucket('5 minutes')} AS window_start,
@@ -136,6 +142,7 @@ _BODIES = {
     "conversion_rate": _CONVERSION,
     "visits_by_category": _VISITS,
     "demand_peaks": _PEAKS,
+    "demand_peaks_per_minute": _PEAKS_PER_MINUTE,
     "aggregate_by_user": _BY_USER,
     "aggregate_by_category": _BY_CATEGORY,
     "aggregate_by_product": _BY_PRODUCT,

@@ -1,12 +1,13 @@
 from basketflow.streaming.sinks import (
+    read_snapshot,
     start_console,
     start_parquet,
     start_snapshot,
     write_events_kafka,
 )
-from basketflow.streaming.storage import shared_root, workspace
+from basketflow.streaming.storage import refuse_lost_checkpoint, shared_root, workspace
 
 __all__ = [
-    "shared_root", "start_console", "start_parquet", "start_snapshot", "workspace",
-    "write_events_kafka",
+    "read_snapshot", "refuse_lost_checkpoint", "shared_root", "start_console", "start_parquet",
+    "start_snapshot", "workspace", "write_events_kafka",
 ]

@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from basketflow.sources.codec import encode_events
 
@@ -88,16 +89,25 @@ def start_snapshot(
     every: str = "30 seconds",
     once: bool = False,
 ) -> StreamingQuery:
-    """Replace a Parquet table by the whole complete-mode result at each trigger.
+    """Write the whole complete-mode result at each trigger, to a folder of the batch's own.
 
-    The executors write it; a repeated batch writes the same table again. Readers should
-    not rely on the folder while a trigger is replacing it.
+    The executors write it; a repeated batch writes its folder again. :func:`read_snapshot`
+    takes the newest folder that is complete, so a batch that fails half-way is never seen.
     """
 
-    def replace(result: DataFrame, batch_id: int) -> None:
-        result.write.mode("overwrite").parquet(path)
+    def write(result: DataFrame, batch_id: int) -> None:
+        result.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
-    return _writer(frame, "complete", name, checkpoint, every, once).foreachBatch(replace).start()
+    return _writer(frame, "complete", name, checkpoint, every, once).foreachBatch(write).start()
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest complete result that :func:`start_snapshot` has written; empty before any."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(str(f.getPath().getParent()) for f in files.globStatus(pattern) or [])
+    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
 
 
 def write_events_kafka(

@@ -121,7 +121,8 @@ def end_one():
     while len(streams.active) < 10:
         time.sleep(0.2)
     queries = streams.active
-    queries[0].processAllAvailable()
+    for query in queries:
+        query.processAllAvailable()
     queries[0].stop()
 
 threading.Thread(target=end_one, daemon=True).start()
@@ -154,6 +155,44 @@ def test_stop_leaves_ended_queries_alone():
     ended.stop.assert_not_called()
 
 
+def test_one_that_cannot_be_stopped_does_not_keep_the_others():
+    stuck, alive = mock.Mock(isActive=True), mock.Mock(isActive=True)
+    stuck.stop.side_effect = TimeoutError("still busy")
+    with pytest.raises(TimeoutError):
+        stop([stuck, alive])
+    alive.stop.assert_called_once()
+
+
+def finish(queries):
+    for query in queries:
+        query.awaitTermination()
+
+
+def test_second_start_resumes_with_default_settings(spark, drop_files, tmp_path):
+    """Windows of the second run appear once, those of the first are not written again."""
+    settings = Settings(str(tmp_path / "base"))
+    folder = drop_files([event("00:01:00"), event("00:20:00")])
+    finish(start(spark, settings, read_events_files(spark, folder), once=True))
+    first = read_result(spark, f"{settings.base_path}/users", "users").collect()
+    drop_files([event("00:31:00"), event("01:00:00")])
+    finish(start(spark, settings, read_events_files(spark, folder), once=True))
+    second = read_result(spark, f"{settings.base_path}/users", "users")
+    assert len(first) == 1 and second.count() == second.distinct().count() == 3
+
+
+def test_base_paths_have_checkpoints_of_their_own(spark, tmp_path):
+    roots = {application._checkpoint_root(spark, Settings(str(tmp_path / n))) for n in "ab"}
+    assert roots == {f"{tmp_path}/a/_checkpoints", f"{tmp_path}/b/_checkpoints"}
+
+
+def test_lost_checkpoint_is_refused(spark, drop_files, tmp_path):
+    raw = read_events_files(spark, drop_files([event("00:01:00"), event("00:20:00")]))
+    base = str(tmp_path / "base")
+    finish(start(spark, Settings(base, str(tmp_path / "one")), raw, once=True))
+    with pytest.raises(ValueError, match="whose checkpoint is not"):
+        start(spark, Settings(base, str(tmp_path / "two")), raw, once=True)
+
+
 def test_kafka_is_the_default_source(monkeypatch, spark, tmp_path):
     asked = {}
     monkeypatch.setattr(
@@ -163,7 +202,7 @@ def test_kafka_is_the_default_source(monkeypatch, spark, tmp_path):
         start(spark, Settings(str(tmp_path), topics="a,b", max_per_trigger=None, min_partitions=64))
     assert asked == {
         "servers": "localhost:9092", "topics": ["a", "b"], "starting": "latest",
-        "max_per_trigger": None, "min_partitions": 64,
+        "max_per_trigger": None, "min_partitions": 64, "fail_on_data_loss": False,
     }
 
 

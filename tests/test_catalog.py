@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from basketflow.plans.catalog import all_queries
+from basketflow.plans.oracles import all_oracles
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = contract.queries()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,9 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(QUERIES)
+    assert set(all_oracles()) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -26,6 +26,16 @@ def test_several_topics_without_a_cap():
     assert "maxOffsetsPerTrigger" not in options
 
 
+def test_no_cap_by_default_but_for_one_topic_from_the_latest():
+    assert "maxOffsetsPerTrigger" not in kafka_options(topics=["a", "b"])
+    assert "maxOffsetsPerTrigger" not in kafka_options(topics="a", starting="earliest")
+    assert kafka_options(topics=["a", "b"], max_per_trigger=7)["maxOffsetsPerTrigger"] == "7"
+
+
+def test_data_loss_can_fail():
+    assert kafka_options(fail_on_data_loss=True)["failOnDataLoss"] == "true"
+
+
 def test_from_the_beginning_on_another_server():
     options = kafka_options("broker:1", "t", starting="earliest", min_partitions=64)
     assert options["kafka.bootstrap.servers"] == "broker:1"

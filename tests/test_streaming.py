@@ -5,7 +5,9 @@ import pytest
 from basketflow import operators as op
 from basketflow.schema import PURCHASE
 from basketflow.sources import parse_events, read_events_files, read_result
-from basketflow.streaming import shared_root, start_console, start_parquet, start_snapshot, workspace
+from basketflow.streaming import (
+    read_snapshot, shared_root, start_console, start_parquet, start_snapshot, workspace,
+)
 from tests.conftest import event, naive, rows
 
 COMPLETE = [
@@ -58,7 +60,7 @@ def test_complete_mode_equals_batch(spark, drop_files, tmp_path, operator):
     start_snapshot(
         result, str(tmp_path / "t"), str(tmp_path / "c"), operator.__name__, once=True
     ).awaitTermination()
-    stored = spark.read.schema(result.schema).parquet(str(tmp_path / "t"))
+    stored = read_snapshot(spark, str(tmp_path / "t"), result.schema)
     batch = operator(parse_events(read_events_files(spark, folder, streaming=False)))
     assert rows(stored) == rows(batch)
     assert batch.count() > 0
@@ -113,12 +115,22 @@ def test_complete_mode_keeps_late_rows(spark, drop_files, tmp_path):
     start_snapshot(
         result, str(tmp_path / "t"), str(tmp_path / "c"), "late_complete", once=True
     ).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "t"))
+    stored = read_snapshot(spark, str(tmp_path / "t"), result.schema)
     assert rows(stored, "minute", "views") == [
         (naive("00:00:00"), 2), (naive("00:10:00"), 2), (naive("00:30:00"), 1),
     ]
 
 
+def test_snapshot_that_fails_half_way_is_not_seen(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t" / "batch=000000000000"))
+    torn = tmp_path / "t" / "batch=000000000001"
+    spark.range(9).write.parquet(str(torn))
+    (torn / "_SUCCESS").unlink()
+    schema = spark.range(1).schema
+    assert read_snapshot(spark, str(tmp_path / "t"), schema).count() == 3
+    assert read_snapshot(spark, str(tmp_path / "none"), schema).count() == 0
+
+
 def test_restart_loses_and_repeats_nothing(drop_files, run_append):
     folder = drop_files(*late_batches()[:3])
     first, _ = run_append(folder, one_minute_users)
