@@ -1,6 +1,7 @@
 """Text classification by subword embeddings, trained with numpy."""
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +28,44 @@ _AGAIN = 0
 _REMEMBERED = 300_000
 
 
-def _bucket(feature: bytes) -> int:
-    return 1 + xxhash.xxh64_intdigest(feature) % (BUCKETS - 1)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return 1 + ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % (BUCKETS - 1)
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word, as written, and of its character n-grams with its ends marked."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    found = [_bucket(word)]
-    for n in NGRAMS:
-        found.extend(_bucket(text[i : i + n].encode()) for i in range(len(text) - n + 1))
-    return found
-
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of many words, and the word that each belongs to.
 
-def document_features(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    A word has itself, as written, and its character n-grams with its ends marked.
+    """
+    whole = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    joined = b"\n" + b"\n".join(words) + b"\n"  # no word has a line break: it marks the ends
+    codes = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(codes == 10)
+    found, owners = [_bucket(whole)], [np.arange(len(words))]
+    for n in NGRAMS:
+        places = len(codes) - n + 1
+        if places <= 0:
+            continue
+        hashes = np.full(places, n, np.uint64)
+        for k in range(n):
+            hashes = hashes * np.uint64(1000003) + codes[k : places + k]
+        inside = np.flatnonzero(ends[n - 2 : places + n - 2] == ends[:places])
+        found.append(_bucket(hashes[inside]))
+        owners.append(ends[inside] - 1)
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Different buckets of a whole text and how often each occurs."""
     words = text.split()
     counts: dict[bytes, int] = {}
     for word in words:
         counts[word] = counts.get(word, 0) + 1
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    again = sum(map(bytes.__eq__, words, words[1:]))
     total = np.zeros(BUCKETS)
-    for word, n in counts.items():
-        if (buckets := known.get(word)) is None:
-            if len(known) > 50_000:
-                known.clear()
-            buckets = known[word] = np.array(word_features(word))
-        np.add.at(total, buckets, n)
+    if counts:
+        buckets, owners = word_features(list(counts))
+        total = np.bincount(buckets, np.fromiter(counts.values(), float, len(counts))[owners], BUCKETS)
     # A repetition weighs as much as a word with its n-grams.
     total[_AGAIN] = again * (total.sum() / max(1, len(words)))
     found = np.flatnonzero(total)
@@ -113,30 +125,43 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     model = shared.value
     weight, again, slope, offset, empty = (model[k] for k in ("weight", "again", "slope", "offset", "empty"))
 
-    class Words(dict):
-        def __missing__(self, word: bytes) -> tuple[float, int]:
-            if len(self) > _REMEMBERED:
-                self.clear()
-            buckets = word_features(word)
-            found = self[word] = float(weight[buckets].sum()), len(buckets)
-            return found
-
-    known = Words()
+    known = Numbers()
+    sums, sizes = np.zeros(0), np.zeros(0)
     for batch in batches:
-        scores = []
-        for text in texts(batch.column(1)):
-            words = text.split()
-            if not words:
-                scores.append(empty)
-                continue
-            sums, sizes = np.array(list(map(known.__getitem__, words))).sum(axis=0)
-            times = sum(map(bytes.__eq__, words, words[1:]))
-            times *= sizes / len(words)
-            margin = (sums + again * times) / (sizes + times)
-            scores.append(1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30))))
+        if len(known) > _REMEMBERED:
+            known, sums, sizes = Numbers(), np.zeros(0), np.zeros(0)
+        found = [text.split() for text in texts(batch.column(1))]
+        lengths = np.array([len(words) for words in found], np.int64)
+        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        if known.new:
+            buckets, owners = word_features(known.new)
+            sums = np.concatenate([sums, np.bincount(owners, weight[buckets], len(known.new))])
+            sizes = np.concatenate([sizes, np.bincount(owners, minlength=len(known.new))])
+            known.new = []
+        row = np.repeat(np.arange(len(found)), lengths)
+        total = np.bincount(row, sums[numbers], len(found))
+        features = np.bincount(row, sizes[numbers], len(found))
+        same = (numbers[1:] == numbers[:-1]) & (row[1:] == row[:-1])
+        times = np.bincount(row[1:][same], minlength=len(found)) * features / np.maximum(lengths, 1)
+        margin = (total + again * times) / np.maximum(features + times, 1)
+        scores = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
+        scores[lengths == 0] = empty
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
 
+class Numbers(dict):
+    """Word -> number, in the order in which words are first asked for; ``new`` lists the last."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 def fit(examples: DataFrame, seed: int = 42) -> dict:
     """A model from ``text, label, id``: at most ``MAX_EXAMPLES`` rows, by hash of the id.
 
@@ -157,8 +182,7 @@ def fit(examples: DataFrame, seed: int = 42) -> dict:
     nothing = {"weight": np.zeros(BUCKETS), "again": 0.0, "slope": 1.0, "offset": float(np.log(share / (1 - share))), "empty": float(share)}
     if len(set(labels.tolist())) < 2:
         return nothing
-    known: dict[bytes, np.ndarray] = {}
-    documents = [document_features((r["text"] or "").encode(), known) for r in rows]
+    documents = [document_features((r["text"] or "").encode()) for r in rows]
     check = np.arange(len(rows)) % 5 == 4
     vectors, output = train([d for d, c in zip(documents, check, strict=True) if not c], labels[~check], seed)
     weight = vectors @ (output[1] - output[0])
