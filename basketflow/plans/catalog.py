@@ -9,7 +9,9 @@ from pyspark.sql.types import TimestampType
 from basketflow import operators as op
 from basketflow.plans.retail_view import retail_view
 from basketflow.plans.session import apply_settings
-from basketflow.sources import encode_events, parse_events, read_result, with_event_time
+from basketflow.sources import (
+    encode_events, parse_events, read_events_files, read_result, with_event_time,
+)
 from basketflow.streaming import read_snapshot, start_parquet, start_snapshot, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,39 @@ def stream_sales_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closed_windows(spark, sales, "sales_from_json_append")
 
 
+def _resumed(operator: Callable[..., DataFrame], slices: list[str]) -> Query:
+    """The operator over JSON files that arrive in slices, its closed windows kept as Parquet.
+
+    ``slices`` are predicates over the table, with ``share`` for the place of a row's time
+    between the first and the last, 0 to 1000. For each the stream is started anew on the same
+    checkpoint and ends, so state is carried over restarts and dropped as windows close.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = apply_settings(spark).read.parquet(f"{sf_dir}/events.parquet")
+        seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+        first, last = table.agg(F.min(seconds), F.max(seconds)).first()
+        share = F.floor((seconds - F.lit(first)) * 1000 / F.lit(max(1, last - first)))
+        placed = table.withColumn("share", share)
+        place = workspace(spark, f"{operator.__name__}-resumed")
+        for number, rows in enumerate(slices):
+            events = retail_view(placed.where(rows).drop("share"))
+            encode_events(events).write.text(f"{place}/landing/slice-{number:03d}")
+            arrived = read_events_files(spark, f"{place}/landing/slice-*")
+            result = operator(parse_events(arrived, fields=operator.fields))
+            name = f"{operator.__name__}_resumed"
+            run = start_parquet(result, f"{place}/table", f"{place}/checkpoint", name, once=True)
+            run.awaitTermination()
+        return _plain(spark.read.schema(result.schema).parquet(f"{place}/table"))
+
+    return query
+
+
+# In the order of time; and with every tenth row of the first half after the second half.
+_IN_ORDER = [f"share DIV 251 = {n}" for n in range(4)]
+_LATE = ["share < 500 AND event_id % 10 <> 0", "share >= 500", "share < 500 AND event_id % 10 = 0"]
+
+
 def sales_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = op.sales_per_minute(_events(spark, sf_dir), ordered=False)
     return _plain(op.sales_series(sales))
@@ -156,4 +191,7 @@ def all_queries() -> dict[str, Query]:
         ),
         "stream_sales_table": _stream_append(op.sales_per_minute, ordered=False),
         "stream_sales_from_json": stream_sales_from_json,
+        "stream_resumed_by_user": _resumed(op.aggregate_by_user, _IN_ORDER),
+        "stream_resumed_by_product": _resumed(op.aggregate_by_product, _IN_ORDER),
+        "stream_late_by_category": _resumed(op.aggregate_by_category, _LATE),
     }
