@@ -1,9 +1,9 @@
 """SentencePiece encoding as a max-plus scan, and decoding."""
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,19 @@ _LAST_RESORT = -1e8
 _REMEMBERED = 300_000
 _NONE = -math.inf
 
-#: Where no piece can cross: before a run of spaces that follows a word, around line breaks.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+#: Units of up to so many characters are solved together with others.
+_SHORT = 48
 
 
 @dataclass
 class Pieces:
-    """Vocabulary of a model: scores and ids by piece, bytes by id."""
+    """Vocabulary of a model: scores and ids by piece, bytes by id, and a trie of the pieces.
+
+    ``classes`` numbers the characters that occur in pieces, 0 for the others; ``inside`` has
+    the pairs of characters that are neighbours in some piece: no piece crosses others.
+    ``edges`` (sorted) has node * 65536 + class for each step in the trie, ``nodes`` where it
+    leads, ``node_ids`` and ``node_scores`` the piece that ends there (-1, minus infinity).
+    """
 
     scores: dict[str, float]
     ids: dict[str, int]
@@ -43,6 +49,12 @@ class Pieces:
     byte_ids: list[int]
     byte_score: float
     longest: int
+    classes: np.ndarray
+    inside: np.ndarray
+    edges: np.ndarray
+    nodes: np.ndarray
+    node_ids: np.ndarray
+    node_scores: np.ndarray
 
 
 def load_pieces(path: str, scores_by: str = "log_rank") -> Pieces:
@@ -63,13 +75,106 @@ def load_pieces(path: str, scores_by: str = "log_rank") -> Pieces:
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             scores[piece], ids[piece] = model.get_score(i), i
             raw[i] = piece.replace(SPACE, " ").encode()
-            if UNIT.findall(piece) != [piece]:
-                raise ValueError(f"piece {piece!r} crosses the end of a unit")
     worst = min(s for s in scores.values() if s > _LAST_RESORT)
     if scores_by == "log_rank":  # pieces of last resort, runs of spaces, rank last
         scores = {p: -round(math.log(_ZIPF_SHIFT - max(s, worst)) / _GRAIN) * _GRAIN for p, s in scores.items()}
         worst = min(scores.values())
-    return Pieces(scores, ids, raw, byte_ids, round(worst * 4 / 3 / _GRAIN) * _GRAIN, max(map(len, scores)))
+    characters = sorted({c for piece in scores for c in piece})
+    number = {c: i for i, c in enumerate(characters, 1)}
+    classes = np.zeros(0x110000, np.int32)
+    classes[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+    inside = np.zeros((len(characters) + 1, len(characters) + 1), bool)
+    steps: dict[int, int] = {}
+    ends: dict[int, str] = {}
+    for piece in scores:
+        node = 0
+        for c in piece:
+            node = steps.setdefault(node << 16 | number[c], len(steps) + 1)
+        ends[node] = piece
+        for a, b in zip(piece, piece[1:], strict=False):
+            inside[number[a], number[b]] = True
+    keys = np.fromiter(steps, np.int64, len(steps))
+    order = np.argsort(keys)
+    node_ids, node_scores = np.full(len(steps) + 1, -1), np.full(len(steps) + 1, _NONE)
+    for node, piece in ends.items():
+        node_ids[node], node_scores[node] = ids[piece], scores[piece]
+    return Pieces(
+        scores, ids, raw, byte_ids, round(worst * 4 / 3 / _GRAIN) * _GRAIN, max(map(len, scores)),
+        classes, inside, keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order], node_ids, node_scores,
+    )
+
+
+def class_numbers(vocabulary: Pieces, s: str) -> np.ndarray:
+    return vocabulary.classes[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def cut_positions(vocabulary: Pieces, s: str) -> list[int]:
+    """Positions within a text that no piece crosses."""
+    if len(s) < 2:
+        return []
+    found = class_numbers(vocabulary, s)
+    return (np.flatnonzero(~vocabulary.inside[found[:-1], found[1:]]) + 1).tolist()
+
+
+def solve(vocabulary: Pieces, units: list[str]) -> list[tuple[float, list[int]]]:
+    """Best score and pieces of many short units, whose characters all occur in pieces.
+
+    The trie is walked from all positions at once; then the positions of all units are
+    settled from left to right, those with one distance from their unit's start together.
+    The same rules as in :func:`forward`.
+    """
+    sizes = np.array([len(u) for u in units])
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # a place more for each unit's end
+    n = int(starts[-1])
+    letters = np.zeros(n, np.int64)
+    flat = class_numbers(vocabulary, "".join(units))
+    owner = np.repeat(np.arange(len(units)), sizes)
+    letters[np.arange(len(flat)) + owner] = flat  # the end has class 0, at which every walk stops
+    longest = min(vocabulary.longest, int(sizes.max()))
+    piece = np.full((longest, n), -1, np.int32)
+    score = np.full((longest, n), _NONE)
+    at, node = np.arange(n), np.zeros(n, np.int64)
+    for size in range(longest):
+        keys = node << 16 | letters[at + size]
+        place = np.minimum(np.searchsorted(vocabulary.edges, keys), len(vocabulary.edges) - 1)
+        found = vocabulary.edges[place] == keys
+        at, node = at[found], vocabulary.nodes[place[found]]
+        piece[size, at], score[size, at] = vocabulary.node_ids[node], vocabulary.node_scores[node]
+        inside = at + size + 1 < n
+        at, node = at[inside], node[inside]
+    first = starts[:-1]
+    best, back = np.full(n, _NONE), np.full(n, -1, np.int32)
+    best[first] = 0.0
+    alone = score[0] == _NONE  # a character that is in pieces but is none
+    spelled = {}
+    for i in np.flatnonzero(alone & (letters > 0)):
+        u = int(np.searchsorted(starts, i, "right")) - 1
+        raw = units[u][i - starts[u]].encode()
+        spelled[int(i)] = [vocabulary.byte_ids[b] for b in raw]
+        score[0, i], piece[0, i] = vocabulary.byte_score * len(raw), -2
+    for distance in range(int(sizes.max())):
+        from_ = first[sizes > distance] + distance
+        room = sizes[sizes > distance] - distance
+        for size in range(min(longest, int(room.max()))):
+            p = from_[room > size]
+            q = p + size + 1
+            value = best[p] + score[size, p]
+            better = value > best[q]
+            best[q[better]], back[q[better]] = value[better], size + 1
+    found: list[list[int]] = [[] for _ in units]
+    place, who = first + sizes, np.arange(len(units))
+    while len(who):
+        size = back[place]
+        going = size > 0
+        place, who, size = place[going], who[going], size[going]
+        before = place - size
+        for u, i, p in zip(who.tolist(), piece[size - 1, before].tolist(), before.tolist(), strict=True):
+            if i >= 0:
+                found[u].append(i)
+            else:
+                found[u].extend(reversed(spelled[p]))
+        place = before
+    return [(s, ids[::-1]) for s, ids in zip(best[first + sizes].tolist(), found, strict=True)]
 
 
 def forward(vocabulary: Pieces, s: str, begin: int, stop: int) -> tuple[list[float], list[int]]:
@@ -107,38 +212,76 @@ def backtrace(vocabulary: Pieces, s: str, back: list[int], end: int) -> list[int
     return found
 
 
-class Encoder:
-    """Encodes text unit by unit and remembers units, of which most recur."""
+class Encoder(dict):
+    """Encodes text unit by unit. Units are numbered and remembered, since most recur."""
 
     def __init__(self, vocabulary: Pieces):
+        super().__init__()
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[float, list[int]]] = {}
-
-    def unit(self, s: str) -> tuple[float, list[int]]:
-        found = self.known.get(s)
-        if found is None:
-            best, back = forward(self.vocabulary, s, 0, len(s))
-            found = best[-1], backtrace(self.vocabulary, s, back, len(s))
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            if len(s) < 100:
-                self.known[s] = found
-        return found
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.scores, self.sizes, self.starts = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        number = self[unit] = len(self)
+        return number
+
+    def units(self, s: str) -> list[str]:
+        """The parts of a text between cuts."""
+        if not s:
+            return []
+        cuts = [0, *cut_positions(self.vocabulary, s), len(s)]
+        return [s[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _settle(self) -> None:
+        """Solve the units that have been numbered since the last time."""
+        found: dict[str, tuple[float, list[int]]] = {}
+        short = [u for u in self.new if len(u) <= _SHORT and (len(u) > 1 or u in self.vocabulary.scores)]
+        for start in range(0, len(short), 20_000):
+            part = short[start : start + 20_000]
+            found.update(zip(part, solve(self.vocabulary, part), strict=True))
+        for u in self.new:
+            if u not in found:
+                best, back = forward(self.vocabulary, u, 0, len(u))
+                found[u] = best[-1], backtrace(self.vocabulary, u, back, len(u))
+        solved = [found[u] for u in self.new]
+        sizes = np.array([len(ids) for _, ids in solved], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.scores = np.concatenate([self.scores, [score for score, _ in solved]])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids for _, ids in solved), np.int32, int(sizes.sum()))])
+        self.new = []
+
+    def encode_many(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of all texts in a row, where each text's end, and the scores."""
+        if len(self) > _REMEMBERED:
+            self.forget()
+        units = [self.units(s) for s in marked]
+        until = np.cumsum([0, *map(len, units)])
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(units)), np.int64, int(until[-1]))
+        if self.new:
+            self._settle()
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        within = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+        flat = self.flat[np.repeat(self.starts[numbers], sizes) + within]
+        # Scores are multiples of one grain, so differences of running sums are exact.
+        sums = np.concatenate([[0.0], np.cumsum(self.scores[numbers])])
+        return flat, ends[until], sums[until[1:]] - sums[until[:-1]]
 
     def encode(self, s: str) -> tuple[float, list[int]]:
         """Best score and pieces of a text whose spaces are marked."""
-        ids: list[int] = []
-        total, known, unit = 0.0, self.known, self.unit
-        for u in UNIT.findall(s):
-            score, some = known.get(u) or unit(u)
-            total += score
-            ids += some
-        return total, ids
+        flat, _, scores = self.encode_many([s])
+        return float(scores[0]), flat.tolist()
 
     def cuts(self, s: str, stop: int) -> list[int]:
         """Positions from 1 to ``stop`` that no piece crosses."""
-        found = [m.start() for m in UNIT.finditer(s)]
-        return [c for c in found if 0 < c <= stop]
+        return [c for c in cut_positions(self.vocabulary, s) if c <= stop]
 
     def matrix(self, s: str, size: int) -> np.ndarray:
         """Best scores from each entry to each exit of the chunk ``s[:size]``.
@@ -225,27 +368,29 @@ def boundary_states(matrices: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _lists(values: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)])
-    flat = np.fromiter((i for v in values for i in v), np.int32, int(ends[-1]))
+    flat = np.fromiter(chain.from_iterable(values), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
 def _encode_whole(path: str, scores_by: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(load_pieces(path, scores_by))
     for batch in batches:
-        ids, scores, same = [], [], []
-        for value in batch.column(1):
-            s = value.as_py() or ""
-            score, found = encoder.encode(s)
-            ids.append(found)
-            scores.append(score)
-            same.append(decode_ids(encoder.vocabulary, found) == s[1:].replace(SPACE, " "))
-        columns = [batch.column(0), _lists(ids), pa.array(scores, pa.float64()), pa.array(same, pa.bool_())]
+        marked = [value.as_py() or "" for value in batch.column(1)]
+        flat, ends, scores = encoder.encode_many(marked)
+        raw = encoder.vocabulary.raw
+        same = [
+            b"".join(map(raw.__getitem__, flat[a:b].tolist())) == s.replace(SPACE, " ").encode()
+            for a, b, s in zip(ends, ends[1:], marked, strict=False)
+        ]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        columns = [batch.column(0), lists, pa.array(scores), pa.array(same, pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "score", "round_trip"])
 
 
 def _matrices(path: str, scores_by: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(load_pieces(path, scores_by))
     for batch in batches:
+        encoder.encode_many([s.as_py() for s in batch.column(2)])  # what is new is solved in one go
         found = [encoder.matrix(s.as_py(), n.as_py()).ravel() for s, n in zip(batch.column(2), batch.column(3), strict=True)]
         flat = np.concatenate(found) if found else np.zeros(0)
         width = encoder.vocabulary.longest**2
@@ -270,6 +415,7 @@ def _backtraces(path: str, scores_by: str, batches: Iterator[pa.RecordBatch]) ->
     encoder = Encoder(load_pieces(path, scores_by))
     for batch in batches:
         row, chunk, s, n, entry, leave, score = batch.columns
+        encoder.encode_many([x.as_py() for x in s])
         ids, same = [], []
         for text, size, i, j in zip(s, n, entry, leave, strict=True):
             text, size, i, j = text.as_py(), size.as_py(), i.as_py(), j.as_py()
