@@ -1,4 +1,8 @@
-"""Language-model scores from a probabilistic suffix tree over words."""
+"""Language-model scores from a probabilistic suffix tree over words.
+
+:func:`lm_scores` uses the whole tree, which is a table (:func:`whole_tree`). :func:`fit` and
+:func:`walk` are the same model cut down to frequent words, for use within one process.
+"""
 
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +27,13 @@ ALPHABETS = (256, 64, 16)
 MAX_CONTEXTS = 1024
 MIN_OCCURRENCES = 30
 ADDED = 0.1
+#: Words of the longest context of the whole tree.
+DEPTH = 3
+#: Entries of the whole tree that every task has at hand, at most; the others are joined.
+AT_HAND = 1 << 21
 _FLUSH = 400_000
 _CELLS = 2_000_000
+_BITMAP = 21  # the bitmap of keys has 64 << this bits
 
 OTHER, END = SYMBOLS, SYMBOLS + 1
 _WIDTH = SYMBOLS + 2
@@ -34,7 +43,7 @@ _FIRST = [int(x) for x in np.concatenate([[0], np.cumsum(_SIZES)])]
 
 @dataclass
 class Model:
-    """What a task needs: bounded by the constants above, whatever the size of the corpus."""
+    """A tree of frequent words only, that one task can hold: bounded by the constants above."""
 
     hashes: np.ndarray  # of the known words, most frequent first
     counts: np.ndarray  # theirs
@@ -44,17 +53,6 @@ class Model:
     states: np.ndarray  # context number -> row of ``log_p``, or -1; row 0 is the root
     log_p: np.ndarray  # log10 of the next-symbol distributions
 
-    @property
-    def base_denominator(self) -> float:
-        return float(np.log10(self.train_tokens + ADDED * (self.train_types + 1)))
-
-    @property
-    def other_denominator(self) -> float:
-        """Of a word's share of the symbol OTHER, one place kept for unknown words."""
-        types = self.train_types - (self.train_docs > 0) - min(SYMBOLS, len(self.counts))
-        tokens = self.train_tokens - self.train_docs - int(self.counts[:SYMBOLS].sum())
-        return float(np.log10(tokens + ADDED * (types + 1)))
-
 
 def word_hash(word: bytes) -> int:
     value = xxhash.xxh64_intdigest(word)
@@ -202,21 +200,45 @@ def build_tree(cells: DataFrame, root: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return states, _log10(p)
 
 
+@dataclass
+class Words:
+    """Counts of the known words, most frequent first, and of the corpus."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    train_docs: int
+    train_tokens: int  # with an end for each row
+    train_types: int
+
+    @property
+    def base_denominator(self) -> float:
+        return float(np.log10(self.train_tokens + ADDED * (self.train_types + 1)))
+
+
+def count_words(text: DataFrame) -> tuple[Words, DataFrame]:
+    """Of the column ``text``: the known words, and the counts ``(h, c)`` of all words."""
+    counts = saved(
+        map_batches(text, _count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "word_counts"
+    )
+    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_docs = text.count()
+    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    known = Words(
+        top.h.to_numpy(np.int64), top.c.to_numpy(np.int64), n_docs, int(total) + n_docs, int(types) + (n_docs > 0)
+    )
+    return known, counts
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the counts ``(h, c)`` of all their words.
+    """The bounded tree of all rows of ``docs``, and the counts ``(h, c)`` of all their words.
 
     Two passes: word counts, then counts of what follows the candidate contexts. Both are
     added up per task before the shuffle, so a hot word or context is one row of each task.
     """
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).alias("text"))
-    counts = saved(
-        map_batches(text, _count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "word_counts"
-    )
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_docs = docs.count()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
-    hashes, known = top.h.to_numpy(np.int64), top.c.to_numpy(np.int64)
+    words_, counts = count_words(text)
+    hashes, known, n_docs = words_.hashes, words_.counts, words_.train_docs
     shared = spark.sparkContext.broadcast(hashes)
     cells = saved(
         map_batches(text, lambda batches: _count_cells(shared.value, batches), "cell long, n long")
@@ -225,11 +247,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     )
     root = np.zeros(_WIDTH)
     root[: min(SYMBOLS, len(known))] = known[:SYMBOLS]
-    root[OTHER] = total - known[:SYMBOLS].sum()
+    root[OTHER] = words_.train_tokens - n_docs - known[:SYMBOLS].sum()
     root[END] = n_docs
     root = (root + 0.5) / (root.sum() + 0.5 * _WIDTH)
     states, log_p = build_tree(cells, root)
-    model = Model(hashes, known, n_docs, int(total) + n_docs, int(types) + (n_docs > 0), states, log_p)
+    model = Model(hashes, known, n_docs, words_.train_tokens, words_.train_types, states, log_p)
     return model, counts
 
 
@@ -242,60 +264,259 @@ def walk(model: Model, ranks: np.ndarray) -> float:
     return float(model.log_p[state, symbols(ranks)].sum())
 
 
-def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = Model(**shared.value)
-    ranks_of = Ranks(model.hashes)
-    logs = np.log10(model.counts + ADDED)
-    end = float(np.log10(model.train_docs + ADDED))
+# --- the whole tree, as a table
+
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+#: Stands for the end of a text; no word has a blank.
+END_HASH = word_hash(b" ")
+
+
+def _hash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    x = value * _P2
+    x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * _P1 ^ (seed + (_P5 + np.uint64(8)))
+    x = ((x << np.uint64(27)) | (x >> np.uint64(37))) * _P1 + _P4
+    x = (x ^ (x >> np.uint64(33))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P3
+    return x ^ (x >> np.uint64(32))
+
+
+def extend(start: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a run of words with one more at its end: Spark's ``xxhash64(start, word)``."""
+    first = _hash_long(start.view(np.uint64), np.full(1, 42, np.uint64))
+    return _hash_long(word.view(np.uint64), first).view(np.int64)
+
+
+class Hashes(dict):
+    """Word -> its hash; remembers what it is asked."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _FLUSH:
+            self.clear()
+        value = self[word] = word_hash(word)
+        return value
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        """The hashes of a text's words, then the end."""
+        return np.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)), END_HASH)
+
+
+def runs(sequence: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2, ... words; the run at place i starts with the i-th word."""
+    found = [sequence]
+    for d in range(1, longest):
+        found.append(extend(found[-1][:-1], sequence[d:]))
+    return found
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the column ``key``. Others' bits may be set by chance: what passes is looked up."""
+    rows = keys.groupBy(F.expr(f"shiftrightunsigned(key, {64 - _BITMAP})").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(key & 63 AS int)))").alias("bits")
+    ).toPandas()
+    found = np.zeros(1 << _BITMAP, np.int64)
+    found[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return found.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64)
+    return (bits[at >> np.uint64(64 - _BITMAP)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _count_next(shared, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (context of so many words, next word or end), of the contexts in the bitmap."""
+    bits, hashes, held, size = shared.value, Hashes(), [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        context, following = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((following, context))
+        context, following = context[order], following[order]
+        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (following[1:] != following[:-1])))
+        n = np.diff(np.append(new, len(context)))
+        for at in range(0, len(new), 100_000):
+            some = new[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[some]), pa.array(following[some]), pa.array(n[at : at + 100_000].astype(np.int64))],
+                ["context", "next", "n"],
+            )
+
     for batch in batches:
-        rows, rare = [], []
-        for text in texts(batch.column(1)):
-            found = words(text)
-            ranks = ranks_of.of(found)
-            known = ranks[ranks >= 0]
-            other = known[known >= SYMBOLS]
-            rare.append([word_hash(found[i]) for i in np.flatnonzero(ranks < 0)])
-            rows.append((
-                len(found) + 1, len(known) + (model.train_docs > 0), logs[known].sum() + end,
-                walk(model, ranks) + logs[other].sum(), len(other) + len(rare[-1]),
-            ))
-        ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-        flat = np.fromiter((h for r in rare for h in r), np.int64, int(ends[-1]))
-        n, known_n, base, score, other_n = (np.array(c) for c in zip(*rows, strict=True)) if rows else [np.zeros(0)] * 5
-        columns = [
-            pa.array(n.astype(np.int64)), pa.array(known_n.astype(np.int64)), pa.array(base.astype(float)),
-            pa.array(score.astype(float)), pa.array(other_n.astype(np.int64)),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_tokens", "n_known", "base", "score", "n_other", "rare"])
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+        for text in texts(batch.column(0)):
+            sequence = hashes.of(words(text))
+            if len(sequence) <= depth:
+                continue
+            context = runs(sequence[:-1], depth)[-1]
+            inside = in_bitmap(bits, context)
+            if inside.any():
+                held.append((context[inside], sequence[depth:][inside]))
+                size += len(held[-1][0])
+            if size > _CELLS:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
+
+
+def whole_tree(text: DataFrame, known: Words, counts: DataFrame) -> DataFrame:
+    """All retained contexts as a table ``key, value, n``: what a run of words adds to a score.
+
+    A context of 1, 2 or 3 words is a candidate if it occurs often enough (which a longer one
+    can only if the shorter ones do), whatever its words; its next symbols are all words and
+    the end. It is retained by the test of :func:`build_tree`, and smoothed towards its parent
+    in the same way; the root is the base distribution. Neither number nor rank is bounded.
+
+    A text's score is its base score and the values of all its runs of up to four words. A run
+    is the key of two things. As a context with its next word it adds the log of p over the
+    parent's p, less that of a word never seen there; as a context, the log of a never seen
+    word's p over the parent's p. Values of contexts that are not retained are missing, so
+    the longest retained context's p remains.
+    """
+    spark = text.sparkSession
+    root = f"(c + {ADDED}D) / {known.train_tokens + ADDED * (known.train_types + 1)!r}D"
+    end = spark.createDataFrame([(END_HASH, known.train_docs)], "h long, c long")
+    above = counts.select("h", "c").union(end).selectExpr("h AS up", f"{root} AS share", f"{root} AS p")
+    candidates = counts.where(f"c >= {MIN_OCCURRENCES}").selectExpr("h AS context", "h AS parent")
+    parts = []
+    for depth in range(1, DEPTH + 1):
+        shared = spark.sparkContext.broadcast(bitmap(candidates.selectExpr("context AS key")))
+        pairs = map_batches(
+            text, lambda batches, s=shared, d=depth: _count_next(s, d, batches), "context long, next long, n long"
+        ).groupBy("context", "next").agg(F.sum("n").alias("n"))
+        if depth == 1:  # every other context by chance in the bitmap occurs too rarely
+            cells = pairs.selectExpr("context", "next", "n", "next AS up")
+        else:
+            cells = pairs.join(candidates, "context").selectExpr("context", "next", "n", "xxhash64(parent, next) AS up")
+        cells = saved(cells.join(above, "up", "left"), f"next_of_{depth}")
+        retained = saved(
+            cells.where("p IS NOT NULL").groupBy("context").agg(
+                F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.expr("n * ln(n / share)")).alias("logs")
+            ).where(f"total >= {MIN_OCCURRENCES} AND logs - total * ln(total) - kinds * ln(total) / 2 > 0")
+            .selectExpr("context", "total", "kinds", "log10(kinds / (total + kinds)) AS unseen"),
+            f"retained_of_{depth}",
+        )
+        level = saved(
+            cells.join(retained, "context").selectExpr(
+                "xxhash64(context, next) AS key", "n", "n / total AS share", "(n + kinds * p) / (total + kinds) AS p",
+                "log10((n + kinds * p) / (total + kinds) / p) - unseen AS value",
+            ),
+            f"level_{depth}",
+        )
+        parts += [level.select("key", "value", "n"), retained.selectExpr("context AS key", "unseen AS value", "total AS n")]
+        candidates = cells.where(f"n >= {MIN_OCCURRENCES} AND next <> {END_HASH}L").selectExpr(
+            "xxhash64(context, next) AS context", "up AS parent"
+        )
+        above = level.selectExpr("key AS up", "share", "p")
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.union(part)
+    return saved(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree")
+
+
+def at_hand(tree: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys of the tree and their values, the rarer first; not all of a tie."""
+    found = tree.groupBy("n").agg(F.count("*").alias("keys")).toPandas().sort_values("n", ascending=False)
+    fit_in = found[found["keys"].cumsum() <= AT_HAND]
+    if not len(fit_in):
+        return np.zeros(0, np.int64), np.zeros(0)
+    rows = tree.where(F.col("n") >= int(fit_in["n"].min())).toPandas().sort_values(["n", "key"])
+    return rows["key"].to_numpy(np.int64), rows["value"].to_numpy(float)
+
+
+class Values:
+    """Values by key, each key in one of two places; a key that finds both taken is left out."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = np.append(keys, 0), np.append(values, 0.0)
+        self.places = []
+        left = np.arange(len(keys))
+        for shift in (0, 32):
+            place = np.full(1 << 22, len(keys), np.int32)
+            at = self._at(keys[left], shift)
+            place[at] = left  # of several the last, which is the most frequent
+            self.places.append((shift, place))
+            left = left[place[at] != left]
+
+    @staticmethod
+    def _at(keys: np.ndarray, shift: int) -> np.ndarray:
+        return (keys >> shift) & ((1 << 22) - 1)
+
+    def sum(self, keys: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of the values of the keys that are here, and the other keys."""
+        total, last = 0.0, len(self.keys) - 1
+        for shift, place in self.places:
+            i = place[self._at(keys, shift)]
+            here = (self.keys[i] == keys) & (i < last)
+            total += float(self.values[i[here]].sum())
+            keys = keys[~here]
+        return total, keys
+
+
+def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, keys, values, bits = shared.value
+    known = Words(**known)
+    ranks_of, hashes, tree = Ranks(known.hashes), Hashes(), Values(keys, values)
+    logs = np.log10(known.counts + ADDED)
+    end = float(np.log10(known.train_docs + ADDED))
+
+    def flat(lists: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+
+    for whole in batches:
+        for batch in (whole.slice(at, 50) for at in range(0, whole.num_rows, 50)):
+            rows, rare, deep = [], [], []
+            for text in texts(batch.column(1)):
+                found = words(text)
+                ranks, sequence = ranks_of.of(found), hashes.of(found)
+                of_known = ranks[ranks >= 0]
+                rare.append(sequence[:-1][ranks < 0])
+                levels = runs(sequence, DEPTH + 1)
+                levels[0] = sequence[:-1]
+                gained, left = tree.sum(np.concatenate(levels))
+                deep.append(left[in_bitmap(bits, left)])
+                rows.append((len(found) + 1, len(of_known) + (known.train_docs > 0), logs[of_known].sum() + end, gained))
+            n, known_n, base, gain = (np.array(c) for c in zip(*rows, strict=True)) if rows else [np.zeros(0)] * 4
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(n.astype(np.int64)), pa.array(known_n.astype(np.int64)),
+                    pa.array(base.astype(float)), pa.array(gain.astype(float)), flat(rare), flat(deep),
+                ],
+                ["row", "n_tokens", "n_known", "base", "gain", "rare", "deep"],
+            )
+
+
+def score(docs: DataFrame, known: Words, counts: DataFrame, tree: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Base and model scores of every row, beside the columns ``keep``.
 
-    Most words are scored where they are read. The rest, hashed, are joined with the whole
-    count table: a word that is hot in the scored rows only is split by adaptive execution.
+    Frequent words and runs are scored where they are read. The rest, hashed, are joined with
+    the whole tables: one that is hot in the scored rows only is split by adaptive execution.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    keys, values = at_hand(tree)
+    shared = docs.sparkSession.sparkContext.broadcast((vars(known), keys, values, bitmap(tree)))
     source = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
     kind = source.schema["row"].dataType.simpleString()
     parts = saved(
         map_batches(
             source, lambda batches: _score(shared, batches),
-            f"row {kind}, n_tokens long, n_known long, base double, score double, n_other long, rare array<long>",
+            f"row {kind}, n_tokens long, n_known long, base double, gain double, rare array<long>, deep array<long>",
         ).withColumn("part", F.monotonically_increasing_id()),
         "score_parts",
     )
     rare = parts.select("part", F.explode("rare").alias("h")).join(counts, "h").groupBy("part").agg(
         F.count("*").alias("found"), F.sum(F.log10(F.col("c") + ADDED)).alias("logs")
     )
+    deep = parts.select("part", F.explode("deep").alias("key")).join(tree.select("key", "value"), "key")
+    deep = deep.groupBy("part").agg(F.sum("value").alias("more"))
     found = F.coalesce("found", F.lit(0))
     logs = F.coalesce("logs", F.lit(0.0)) + (F.size("rare") - found) * float(np.log10(ADDED))
-    return parts.join(rare, "part", "left").select(
+    base = F.col("base") + logs - F.col("n_tokens") * known.base_denominator
+    return parts.drop("deep").join(rare, "part", "left").join(deep, "part", "left").select(
         "row.*", "n_tokens", (F.col("n_known") + found).alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * model.base_denominator).alias("base_score"),
-        (F.col("score") + logs - F.col("n_other") * model.other_denominator).alias("score"),
+        F.lit(known.train_tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
@@ -317,5 +538,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     flagged = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, 10, 0).alias("held_out")
     )
-    model, counts = fit(flagged.where("NOT held_out"))
-    return score(flagged, model, counts, ["doc_id", "held_out"])
+    learned = flagged.where("NOT held_out").select("text")
+    known, counts = count_words(learned)
+    return score(flagged, known, counts, whole_tree(learned, known, counts), ["doc_id", "held_out"])
