@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import map_batches, saved, texts, words
+from basketflow.llm.common import fresh, map_batches, saved, texts, words
 from basketflow.llm.components import connected_components
 
 SHINGLE = 3
@@ -227,10 +227,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row of the smallest id.
 
-    Among rows that share that id the one with the smallest checksum stays, with equal ones
-    any. Rows with a null id are kept only where their whole group has none, one for each group.
-    Columns are those of ``docs``. Only ids travel; the texts are joined back by id.
+    Exactly one row of each group stays. Among rows that share the smallest id it is the one
+    with the smallest checksum (XXH64 of the text), with equal ones any. A row with a null id
+    is kept only where its whole group has no other. Columns are those of ``docs``. The rows
+    are written once with a number, by which the chosen ones are found again.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id")).distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    (row,) = fresh(docs, "row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(
+        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("checksum"), F.col(row).alias("row"),
+    )
+    groups = simhash_groups(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id.row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
