@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.llm import secret_scan
+from basketflow.llm import fill_in_middle, secret_scan
 from basketflow.llm.decontamination import contaminated
 from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_classifier import quality_scores
@@ -72,16 +72,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     """One query for each operator, applied to its whole table, and the pipeline of several."""
     found = [
         op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op4_toxicity,
         op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
-        op9_token_counts, op10_sharding,
+        op9_token_counts, op10_sharding, op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def llm_oracles() -> dict[str, str]:
     """SQL for those that SQL can express."""
-    return {"op6_secret_scans": secret_scan.oracle_sql()}
+    return {
+        "op6_secret_scans": secret_scan.oracle_sql(),
+        "op13_fill_in_middle": fill_in_middle.oracle_sql(),
+    }
