@@ -11,6 +11,7 @@ from basketflow.llm.decontamination import contaminated
 from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_classifier import quality_scores
 from basketflow.llm.quality_rules import quality_verdicts
+from basketflow.llm.repeated_bytes import remove_repeated_bytes
 from basketflow.llm.sharding import shard_by_bytes
 from basketflow.llm.simhash import simhash_groups
 from basketflow.llm.suffix_tree import lm_scores
@@ -72,6 +73,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
 
@@ -81,7 +90,7 @@ def llm_queries() -> dict[str, Query]:
     found = [
         op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op4_toxicity,
         op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
-        op9_token_counts, op10_sharding, op13_fill_in_middle,
+        op9_token_counts, op10_sharding, op12_suffix_array_dedup, op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
