@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.llm import fill_in_middle, secret_scan
+from basketflow.llm import fill_in_middle, ranked_search, secret_scan
 from basketflow.llm.decontamination import contaminated
 from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_classifier import quality_scores
@@ -73,6 +73,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return left.select(
@@ -90,7 +94,8 @@ def llm_queries() -> dict[str, Query]:
     found = [
         op1_lm_scoring, op2_sentencepiece, op3_benchmark_decontamination, op4_toxicity,
         op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_simhash_near_dedup,
-        op9_token_counts, op10_sharding, op12_suffix_array_dedup, op13_fill_in_middle,
+        op9_token_counts, op10_sharding, op11_ranked_search, op12_suffix_array_dedup,
+        op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
@@ -99,5 +104,6 @@ def llm_oracles() -> dict[str, str]:
     """SQL for those that SQL can express."""
     return {
         "op6_secret_scans": secret_scan.oracle_sql(),
+        "op11_ranked_search": ranked_search.oracle_sql(),
         "op13_fill_in_middle": fill_in_middle.oracle_sql(),
     }
