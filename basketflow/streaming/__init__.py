@@ -1,4 +1,5 @@
 from basketflow.streaming.sinks import (
+    hold_snapshot,
     read_snapshot,
     start_console,
     start_parquet,
@@ -8,6 +9,6 @@ from basketflow.streaming.sinks import (
 from basketflow.streaming.storage import refuse_lost_checkpoint, shared_root, workspace
 
 __all__ = [
-    "read_snapshot", "refuse_lost_checkpoint", "shared_root", "start_console", "start_parquet",
+    "hold_snapshot", "read_snapshot", "refuse_lost_checkpoint", "shared_root", "start_console", "start_parquet",
     "start_snapshot", "workspace", "write_events_kafka",
 ]

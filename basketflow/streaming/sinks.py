@@ -1,11 +1,13 @@
 """Start streaming queries: console, Parquet table, table snapshot, Kafka topic."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
+from basketflow import versions
 from basketflow.sources.codec import encode_events
 
 
@@ -88,26 +90,45 @@ def start_snapshot(
     name: str,
     every: str = "30 seconds",
     once: bool = False,
+    keep: int | None = 2,
 ) -> StreamingQuery:
-    """Write the whole complete-mode result at each trigger, to a folder of the batch's own.
+    """Write the whole complete-mode result at each trigger, to a folder of its own.
 
-    The executors write it; a repeated batch writes its folder again. :func:`read_snapshot`
-    takes the newest folder that is complete, so a batch that fails half-way is never seen.
+    The executors write it; when it is whole, a pointer is set to it, so a batch that fails
+    half-way is never seen, nor one that is repeated. Then all but the ``keep`` newest results
+    are removed, except those that :func:`hold_snapshot` holds: the disk used does not grow with
+    the number of triggers.
     """
+    spark = frame.sparkSession
 
     def write(result: DataFrame, batch_id: int) -> None:
-        result.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        version = versions.new_version(batch_id)
+        result.write.parquet(f"{path}/{version}")
+        versions.publish(spark, path, version, keep)
 
     return _writer(frame, "complete", name, checkpoint, every, once).foreachBatch(write).start()
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest complete result that :func:`start_snapshot` has written; empty before any."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
-    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = sorted(str(f.getPath().getParent()) for f in files.globStatus(pattern) or [])
-    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
+    """The newest whole result that :func:`start_snapshot` has written; empty before any.
+
+    It is read when the frame is: a frame that outlives ``keep`` triggers may find its files
+    gone. :func:`hold_snapshot` keeps them for as long as they are needed.
+    """
+    return _version(spark, path, versions.current(spark, path), schema)
+
+
+@contextmanager
+def hold_snapshot(spark: SparkSession, path: str, schema: StructType) -> Iterator[DataFrame]:
+    """:func:`read_snapshot` whose files stay while the block runs, whatever is written meanwhile."""
+    with versions.held(spark, path) as version:
+        yield _version(spark, path, version, schema)
+
+
+def _version(spark: SparkSession, path: str, version: str | None, schema: StructType) -> DataFrame:
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{version}")
 
 
 def write_events_kafka(
