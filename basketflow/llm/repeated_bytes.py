@@ -23,13 +23,17 @@ SPAN = SIZE - GRAM + 1
 
 #: Window starts that a task looks at together.
 BLOCK = 1 << 18
+#: Bytes of neighbourhoods that a task combines before they are shuffled.
+COMBINED = 32 << 20
 #: Suffixes of one bucket of the sort.
-BUCKET = 200_000
+BUCKET = 100_000
 #: Different neighbourhoods of a gram that one task compares window by window; beyond, they are shuffled.
 TOGETHER = 8192
 #: Grams that occur twice, up to which tasks find them in a bitmap (16 MB); beyond, they are joined.
 MAX_BITMAP = 1 << 24
 
+#: Slices that are copied together.
+_SLICES = 4096
 #: Bytes of results a task gathers before it hands them on.
 _HELD = 1 << 22
 
@@ -87,7 +91,9 @@ def owned_runs(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray
         real = owner[first] >= 0
         first, last = first[real], last[real]
         found = owner[first]
-        yield at + found, at + first, at + last, hashes[found].view(np.int64)
+        # Owners have small hashes; once more multiplied, their bits are even again.
+        key = hashes[found] * np.uint64(_MIX[0])
+        yield at + found, at + first, at + last, (key ^ key >> np.uint64(32)).view(np.int64)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +105,20 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[edges[0] : edges[-1]], edges - edges[0]
 
 
+def _copied(out: np.ndarray, at: np.ndarray, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+    """Write ``data[first[i]:first[i] + sizes[i]]`` to ``out`` at ``at[i]``, some thousand slices at a time."""
+    for row in range(0, len(first), _SLICES):
+        some = sizes[row : row + _SLICES]
+        edges = np.cumsum(some) - some
+        ahead = np.arange(int(some.sum()))
+        out[np.repeat(at[row : row + _SLICES] - edges, some) + ahead] = data[np.repeat(first[row : row + _SLICES] - edges, some) + ahead]
+
+
 def _slices(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.Array:
     """``data[first[i]:stop[i]]`` as a binary column."""
-    sizes = stop - first
-    edges = np.append(0, np.cumsum(sizes))
-    picked = data[np.repeat(first - edges[:-1], sizes) + np.arange(edges[-1])]
+    edges = np.append(0, np.cumsum(stop - first))
+    picked = np.empty(edges[-1], np.uint8)
+    _copied(picked, edges[:-1], data, first, stop - first)
     return pa.Array.from_buffers(
         pa.large_binary(), len(first), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(picked)]
     )
@@ -112,10 +127,8 @@ def _slices(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.Array:
 def _padded(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """The slices as rows of big-endian words, so that words compare as bytes do."""
     rows = np.zeros((len(first), width), np.uint8)
-    edges = np.append(0, np.cumsum(sizes))
-    ahead = np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
-    rows.ravel()[np.repeat(np.arange(len(first)) * width, sizes) + ahead] = data[np.repeat(first, sizes) + ahead]
-    return rows.view(">u8").astype(np.uint64)
+    _copied(rows.ravel(), np.arange(len(first)) * width, data, first, sizes)
+    return rows.view("<u8").byteswap(inplace=True)
 
 
 def multikey_order(keys: np.ndarray, order: np.ndarray, mark: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,8 +262,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left, right = np.diff(left_edges), np.diff(right_edges)
     edges = np.append(0, np.cumsum(left + right))
     around = np.empty(edges[-1], np.uint8)
-    around[np.repeat(edges[:-1] - left_edges[:-1], left) + np.arange(left_edges[-1])] = before
-    around[np.repeat(edges[:-1] + left - right_edges[:-1], right) + np.arange(right_edges[-1])] = after
+    _copied(around, edges[:-1], before, left_edges[:-1], left)
+    _copied(around, edges[:-1] + left, after, right_edges[:-1], right)
     ids, th, lo, wins = (c.to_numpy().astype(np.int64) for c in columns[:4])
     yield from resolve(Suffixes(ids, th, lo, wins, around, edges, left))
 
@@ -275,38 +288,62 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "th", "key", "at"])
 
 
+def _merged(ids: np.ndarray, th: np.ndarray, lo: np.ndarray, wins: np.ndarray) -> list[np.ndarray]:
+    """Runs of windows, with those that follow one another in a text made one."""
+    order = np.lexsort((lo, th, ids))
+    ids, th, lo, wins = (c[order] for c in (ids, th, lo, wins))
+    new = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]) | (lo[1:] != lo[:-1] + wins[:-1]))
+    first = np.flatnonzero(new[: len(ids)])
+    return [ids[first], th[first], lo[first], np.add.reduceat(wins, first) if len(first) else wins]
+
+
+def _combined(held: list[Suffixes]) -> Iterator[pa.RecordBatch]:
+    """What a task found, each neighbourhood once; repeats among them are told without bytes."""
+    plain = [np.concatenate([getattr(r, n) for r in held]) for n in ("ids", "th", "lo", "wins")]
+    sizes = np.concatenate([np.diff(r.edges) for r in held])
+    around = np.concatenate([r.around for r in held])
+    rows = Suffixes(*plain, around, np.append(0, np.cumsum(sizes)), np.concatenate([r.left for r in held]))
+    order, new, _ = rows.sort()
+    again = _repeats(order, new, (rows.ids, rows.th, rows.lo))
+    told = _merged(*(c[order[again]] for c in plain))
+    nothing = [pa.nulls(len(told[0]), pa.binary())] * 2
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    names = ["id", "th", "lo", "wins", "suffix", "before"]
+    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(told, kinds, strict=True)), *nothing], names)
+    left = order[~again]
+    for at in range(0, len(left), 50_000):
+        some = left[at : at + 50_000]
+        start, middle, stop = rows.edges[some], rows.edges[some] + rows.left[some], rows.edges[some + 1]
+        parts = [_slices(around, middle, stop).cast(pa.binary()), _slices(around, start, middle).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([*rows.columns(some, False)[:4], *parts], names)
+
+
 def _suffixes(wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes whose gram occurs twice; a batch's own repeats are told at once, without bytes.
+    """The suffixes whose gram occurs twice, combined within the task.
 
     ``wanted`` is the bitmap of such grams, or None where the rows list their places.
     """
-    names = ["id", "th", "lo", "wins", "suffix", "before"]
+    held, size = [], 0
     for batch in batches:
         data, edges = _flat(batch.column(2))
         ids, th = (batch.column(i).to_numpy() for i in (0, 1))
         if wanted is None:
-            listed, list_edges = batch.column(3).flatten().to_numpy(), np.append(0, np.cumsum(batch.column(3).value_lengths().to_numpy()))
-            at = np.sort(np.repeat(edges[:-1], np.diff(list_edges)) + listed)
-        for owner, first, last, hashes in owned_runs(data, edges):
-            keep = in_bitmap(wanted.value, hashes) if wanted is not None else np.isin(first, at)
+            lists = batch.column(3)
+            at = np.repeat(edges[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
+        for owner, first, last, keys in owned_runs(data, edges):
+            keep = np.isin(first, at) if wanted is None else in_bitmap(wanted.value, keys)
             owner, first, last = owner[keep], first[keep], last[keep]
             if not len(owner):
                 continue
             text = np.searchsorted(edges, first, "right") - 1
-            starts = np.append(0, np.cumsum(last + SIZE - first))
-            around, _ = _flat(_slices(data, first, last + SIZE))
-            rows = Suffixes(ids[text], th[text], first - edges[text], last - first + 1, around, starts, owner - first)
-            order, new, _ = rows.sort()
-            again = np.zeros(len(order), bool)
-            again[order] = _repeats(order, new, (rows.ids, rows.th, rows.lo))
-            for part, whole in ((np.flatnonzero(~again), True), (np.flatnonzero(again), False)):
-                plain = rows.columns(part, False)[:4]
-                if whole:
-                    suffix = _slices(data, owner[part], last[part] + SIZE).cast(pa.binary())
-                    before = _slices(data, first[part], owner[part]).cast(pa.binary())
-                else:
-                    suffix = before = pa.nulls(len(part), pa.binary())
-                yield pa.RecordBatch.from_arrays([*plain, suffix, before], names)
+            around, starts = _flat(_slices(data, first, last + SIZE))
+            held.append(Suffixes(ids[text], th[text], first - edges[text], last - first + 1, around, starts, owner - first))
+            size += len(around)
+            if size > COMBINED:
+                yield from _combined(held)
+                held, size = [], 0
+    if held:
+        yield from _combined(held)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
