@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketflow.llm.common import map_batches, saved
-from basketflow.llm.suffix_tree import bitmap, in_bitmap
 
 SIZE = 100
 GRAM = 32
@@ -31,6 +30,7 @@ BUCKET = 100_000
 TOGETHER = 8192
 #: Grams that occur twice, up to which tasks find them in a bitmap (16 MB); beyond, they are joined.
 MAX_BITMAP = 1 << 24
+BITS = 27
 
 #: Slices that are copied together.
 _SLICES = 4096
@@ -268,6 +268,36 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from resolve(Suffixes(ids, th, lo, wins, around, edges, left))
 
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the keys, as pages of 2 ** 16; a page's keys are all in one partition."""
+    pages: dict[int, np.ndarray] = {}
+    for batch in batches:
+        place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+        order = np.argsort(place)
+        for page in np.split(place[order], np.flatnonzero(np.diff(place[order] >> np.uint64(16))) + 1):
+            if len(page):
+                bits = pages.setdefault(int(page[0] >> np.uint64(16)), np.zeros(1 << 16, bool))
+                bits[(page & np.uint64(0xFFFF)).astype(np.int64)] = True
+    if pages:
+        packed = [np.packbits(bits, bitorder="little").tobytes() for bits in pages.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array(packed, pa.binary())], ["page", "bits"])
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``2 ** BITS`` bits of the column ``key``, put together from pages made in tasks."""
+    dealt = keys.select("key").repartition(F.shiftrightunsigned("key", 64 - BITS + 16))
+    found = np.zeros(1 << (BITS - 3), np.uint8)
+    for page, bits in map_batches(dealt, _pages, "page int, bits binary").toLocalIterator():
+        found[page << 13 : (page + 1) << 13] = np.frombuffer(bits, np.uint8)
+    return found
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the bitmap; others' bits may be set by chance."""
+    place = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each owner's hash occurs, added up within blocks."""
     for batch in batches:
@@ -331,7 +361,7 @@ def _suffixes(wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             lists = batch.column(3)
             at = np.repeat(edges[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
         for owner, first, last, keys in owned_runs(data, edges):
-            keep = np.isin(first, at) if wanted is None else in_bitmap(wanted.value, keys)
+            keep = np.isin(first, at) if wanted is None else in_bits(wanted.value, keys)
             owner, first, last = owner[keep], first[keep], last[keep]
             if not len(owner):
                 continue
@@ -408,7 +438,7 @@ def repeated_runs(rows: DataFrame, max_bitmap: int = MAX_BITMAP) -> DataFrame:
     shared = saved(counted.where("n > 1"), "shared_grams")
     grams, places = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if grams <= max_bitmap:
-        bits = spark.sparkContext.broadcast(bitmap(shared))
+        bits = spark.sparkContext.broadcast(key_bits(shared))
         suffixes = map_batches(texts, lambda batches: _suffixes(bits, batches), _SUFFIXES)
     else:
         listed = (
