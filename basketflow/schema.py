@@ -52,6 +52,29 @@ TABLE_SCHEMAS = {
     ),
 }
 
+# --- fixed values: what the stored roll-ups hold beside their public columns ----
+# The exact sum of what was paid in three parts, the number of priced purchases, and, for
+# products, the price range before rounding. From these, coarser roll-ups follow exactly.
+_PAID = "paid_units bigint, paid_millionths bigint, paid_others double, paid_count bigint"
+PART_SCHEMAS = {
+    "users": _PAID,
+    "categories": _PAID,
+    "products": f"{_PAID}, highest double, lowest double",
+}
+
+#: Partition column of tables that are laid out by day.
+DAY = "day"
+
+
+def table_schema(table: str, parts: bool = False) -> T.StructType:
+    """The columns of a stored table, on demand with those of :data:`PART_SCHEMAS`."""
+    public = T.StructType.fromDDL(TABLE_SCHEMAS[table])
+    if not parts:
+        return public
+    if table not in PART_SCHEMAS:
+        raise ValueError(f"table {table} holds no parts")
+    return T.StructType(public.fields + T.StructType.fromDDL(PART_SCHEMAS[table]).fields)
+
 
 def event_fields(names=None) -> T.StructType:
     """The part of the event schema that holds ``names``, in schema order."""
