@@ -9,10 +9,17 @@ from pyspark.sql.types import TimestampType
 from basketflow import operators as op
 from basketflow.plans.retail_view import retail_view
 from basketflow.plans.session import apply_settings
+from basketflow.operators import totals
+from basketflow.operators.totals import Total
+from basketflow.schema import DAY, table_schema
 from basketflow.sources import (
-    encode_events, parse_events, read_events_files, read_result, with_event_time,
+    encode_events, parse_events, read_events_files, read_newest_day, read_result, with_day,
+    with_event_time,
+)
+from basketflow.streaming import (
+    compact, merge_totals, read_rejected, read_snapshot, read_totals, start_landing, start_parquet,
+    start_snapshot, start_totals, stream_landed, workspace,
 )
-from basketflow.streaming import read_snapshot, start_parquet, start_snapshot, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,6 +163,123 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.top_products(op.aggregate_by_product(_events(spark, sf_dir)))
 
 
+def _stored_by_day(spark: SparkSession, sf_dir: str, operator: Callable, table: str) -> str:
+    """The stream of closed windows as a table laid out by day, with its mergeable columns."""
+    place = workspace(spark, f"{operator.__name__}-by-day")
+    result = with_day(operator(_event_stream(spark, sf_dir), parts=True), table)
+    name = f"{operator.__name__}_by_day"
+    run = start_parquet(
+        result, f"{place}/table", f"{place}/checkpoint", name, partition_by=[DAY], once=True
+    )
+    run.awaitTermination()
+    return f"{place}/table"
+
+
+def latest_category_activity_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest window, of whose table only the newest day is read."""
+    path = f"{workspace(spark, 'categories')}/table"
+    categories = op.aggregate_by_category(_events(spark, sf_dir))
+    with_day(categories, "categories").write.partitionBy(DAY).parquet(path)
+    return op.latest_category_activity(read_newest_day(spark, path, "categories"))
+
+
+def _coarser(operator: Callable, table: str, *widths: str) -> Query:
+    """Hours or days from the stored five minutes, step by step, and not from the events."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{workspace(spark, table)}/table"
+        operator(_events(spark, sf_dir), parts=True).write.parquet(path)
+        found = read_result(spark, path, table, parts=True)
+        for width in widths:
+            found = op.coarsen(found, table, width, parts=True)
+        return _plain(found.select(table_schema(table).names))
+
+    return query
+
+
+def stored_sales_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales over time from a stored stream, its closed days compacted."""
+    place = workspace(spark, "sales-by-day")
+    sales = op.sales_per_minute(_event_stream(spark, sf_dir), ordered=False)
+    run = start_parquet(
+        with_day(sales, "sales_per_minute"), f"{place}/table", f"{place}/checkpoint",
+        "sales_by_day", partition_by=[DAY], once=True,
+    )
+    run.awaitTermination()
+    compact(spark, f"{place}/table", "sales_per_minute")
+    return _plain(op.sales_series(read_result(spark, f"{place}/table", "sales_per_minute")))
+
+
+def stored_user_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored_by_day(spark, sf_dir, op.aggregate_by_user, "users")
+    compact(spark, path, "users")
+    return op.user_behaviour(read_result(spark, path, "users"))
+
+
+def stored_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored_by_day(spark, sf_dir, op.aggregate_by_product, "products")
+    return op.top_products(read_result(spark, path, "products"))
+
+
+def stored_days_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from a stored stream of five minutes, closed days compacted first."""
+    path = _stored_by_day(spark, sf_dir, op.aggregate_by_category, "categories")
+    compact(spark, path, "categories")
+    days = op.coarsen(read_result(spark, path, "categories", parts=True), "categories", "1 day")
+    return _plain(days)
+
+
+def _landing(spark: SparkSession, sf_dir: str, raw: DataFrame) -> str:
+    place = workspace(spark, "landing")
+    start_landing(raw, f"{place}/table", f"{place}/checkpoint", once=True).awaitTermination()
+    return f"{place}/table"
+
+
+def _landed(operator: Callable[..., DataFrame], **arguments) -> Query:
+    """The operator as a stream over the landed table of one ingest of JSON text."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _landing(spark, sf_dir, encode_events(_retail_stream(spark, sf_dir)))
+        events = stream_landed(spark, path, fields=operator.fields)
+        return _closed_windows(spark, operator(events, **arguments), f"{operator.__name__}_landed")
+
+    return query
+
+
+def landed_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused records by reason, where a tenth of the texts is torn and a tenth has no time."""
+    events = _retail_stream(spark, sf_dir)
+    no_time = F.col("store_id").endswith("7")
+    torn = F.col("store_id").endswith("3")
+    odd = events.withColumn("timestamp", F.when(~no_time, F.col("timestamp")))
+    text = F.col("value")
+    raw = odd.withColumn("torn", torn).select(
+        "torn", F.to_json(F.struct(*events.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")
+    ).select(F.when(F.col("torn"), F.left(text, F.length(text) - 1)).otherwise(text).alias("value"))
+    refused = read_rejected(spark, _landing(spark, sf_dir, raw))
+    return refused.groupBy("reason").agg(F.count("*").alias("records"))
+
+
+def _running(total: Total) -> Query:
+    """A running total from partial results of four batches, two of them merged."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        place = workspace(spark, total.name)
+        table = apply_settings(spark).read.parquet(f"{sf_dir}/events.parquet")
+        for number in range(4):
+            retail_view(table.where(F.col("event_id") % 4 == number)).write.parquet(f"{place}/landing/slice-{number}")
+            arrived = spark.readStream.schema(retail_view(table).schema).parquet(f"{place}/landing/slice-*")
+            run = start_totals(
+                arrived, total, f"{place}/table", f"{place}/checkpoint", once=True, merge_every=None
+            )
+            run.awaitTermination()
+            if number == 1:
+                merge_totals(spark, total, f"{place}/table")
+        return _plain(read_totals(spark, total, f"{place}/table"))
+
+    return query
+
+
 def all_queries() -> dict[str, Query]:
     """The catalog; see :func:`basketflow.plans.oracles.all_oracles` for the same in SQL."""
     return {
@@ -194,4 +318,19 @@ def all_queries() -> dict[str, Query]:
         "stream_resumed_by_user": _resumed(op.aggregate_by_user, _IN_ORDER),
         "stream_resumed_by_product": _resumed(op.aggregate_by_product, _IN_ORDER),
         "stream_late_by_category": _resumed(op.aggregate_by_category, _LATE),
+        "latest_category_activity_by_day": latest_category_activity_by_day,
+        "hours_by_user": _coarser(op.aggregate_by_user, "users", "1 hour"),
+        "days_by_category": _coarser(op.aggregate_by_category, "categories", "1 hour", "1 day"),
+        "hours_by_product": _coarser(op.aggregate_by_product, "products", "30 minutes", "1 hour"),
+        "stored_sales_series": stored_sales_series,
+        "stored_user_behaviour": stored_user_behaviour,
+        "stored_top_products": stored_top_products,
+        "stored_days_by_category": stored_days_by_category,
+        "landed_by_user": _landed(op.aggregate_by_user),
+        "landed_by_product": _landed(op.aggregate_by_product),
+        "landed_demand_peaks": _landed(op.demand_peaks, width=_PEAK_WIDTH),
+        "landed_rejected": landed_rejected,
+        "running_top_viewed_products": _running(totals.views_per_product()),
+        "running_average_ticket_per_user": _running(totals.ticket_per_user(ordered=False)),
+        "running_visits_by_category": _running(totals.visits_per_category()),
     }

@@ -116,10 +116,10 @@ FROM retail GROUP BY 1, 2, 3 HAVING count(*) > 1
 """
 
 
-def _rollup(keys: str, total: str, mean: str, extra: str = "") -> str:
+def _rollup(keys: str, total: str, mean: str, extra: str = "", width: str = "5 minutes") -> str:
     return f"""
-SELECT {_bucket('5 minutes')} AS window_start,
-       {_bucket('5 minutes')} + INTERVAL '5 minutes' AS window_end, {keys},
+SELECT {_bucket(width)} AS window_start,
+       {_bucket(width)} + INTERVAL '{width}' AS window_end, {keys},
        {_VIEWS} AS total_views, {_CARTS} AS total_carts, {_PURCHASES} AS total_purchases,
        {_PAID_CENTS} / 100.0::DOUBLE AS {total}, {_mean(_PAID_CENTS, _PURCHASES)} AS {mean}
        {extra}
@@ -129,13 +129,22 @@ FROM retail GROUP BY ALL
 
 _BY_USER = _rollup("user_id", "total_spent", "avg_ticket")
 _BY_CATEGORY = _rollup("category", "total_revenue", "avg_price")
-_BY_PRODUCT = _rollup(
-    "product_id, category",
-    "total_revenue",
-    "avg_price",
-    ", max(price_cents) / 100.0::DOUBLE AS max_price"
-    ", min(price_cents) / 100.0::DOUBLE AS min_price",
+_RANGE = (
+    ", max(price_cents) / 100.0::DOUBLE AS max_price, min(price_cents) / 100.0::DOUBLE AS min_price"
 )
+_BY_PRODUCT = _rollup("product_id, category", "total_revenue", "avg_price", _RANGE)
+_DAYS = _rollup("category", "total_revenue", "avg_price", width="1 day")
+# Days made of the five minutes that had closed when the stream ended.
+_CLOSED_DAYS = _DAYS.replace(
+    "FROM retail",
+    f"""FROM retail WHERE {_bucket('5 minutes')} + INTERVAL '5 minutes'
+       <= (SELECT max("timestamp") FROM retail) - INTERVAL '2 minutes'""",
+)
+_TOP_PRODUCTS = """
+SELECT product_id, category, CAST(sum(total_views) AS BIGINT) AS total_views
+FROM ({}) WHERE product_id IS NOT NULL AND category IS NOT NULL
+GROUP BY product_id, category ORDER BY total_views DESC, product_id, category LIMIT 10
+"""
 
 # Only purchases reach this query's watermark: its filter comes first.
 _CLOSED_SALES = _closed(
@@ -185,7 +194,29 @@ _BODIES = {
     "stream_sales_from_json": _CLOSED_SALES,
     "stream_resumed_by_user": _closed(_BY_USER, "window_end"),
     "stream_resumed_by_product": _closed(_BY_PRODUCT, "window_end"),
+    "hours_by_user": _rollup("user_id", "total_spent", "avg_ticket", width="1 hour"),
+    "days_by_category": _DAYS,
+    "hours_by_product": _rollup(
+        "product_id, category", "total_revenue", "avg_price", _RANGE, width="1 hour"
+    ),
+    "stored_sales_series": f"SELECT minute, total_sales FROM ({_CLOSED_SALES}) ORDER BY minute",
+    "stored_user_behaviour": f"""
+        SELECT user_id, total_views, total_purchases, total_carts
+        FROM ({_closed(_BY_USER, 'window_end')})""",
+    "stored_top_products": _TOP_PRODUCTS.format(_closed(_BY_PRODUCT, "window_end")),
+    "stored_days_by_category": _CLOSED_DAYS,
+    "landed_by_user": _closed(_BY_USER, "window_end"),
+    "landed_by_product": _closed(_BY_PRODUCT, "window_end"),
+    "landed_demand_peaks": _closed(_PEAKS, "peak_time + INTERVAL '1 day'"),
+    "landed_rejected": """
+        SELECT CASE WHEN store_id LIKE '%3' THEN 'no JSON object' ELSE 'no readable time' END AS reason,
+               count(*) AS records
+        FROM retail WHERE store_id LIKE '%3' OR store_id LIKE '%7' GROUP BY 1""",
+    "running_top_viewed_products": _TOP_VIEWED,
+    "running_average_ticket_per_user": _TICKETS,
+    "running_visits_by_category": _VISITS,
 }
+_BODIES["latest_category_activity_by_day"] = _BODIES["latest_category_activity"]
 
 
 def all_oracles() -> dict[str, str]:
