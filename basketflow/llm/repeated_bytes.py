@@ -28,6 +28,8 @@ COMBINED = 32 << 20
 BUCKET = 100_000
 #: Different neighbourhoods of a gram that one task compares window by window; beyond, they are shuffled.
 TOGETHER = 8192
+#: Suffixes of one gram that buckets hand on to one task, at most.
+HANDED = 1 << 16
 #: Grams that occur twice, up to which tasks find them in a bitmap (16 MB); beyond, they are joined.
 MAX_BITMAP = 1 << 24
 BITS = 27
@@ -214,12 +216,13 @@ class Suffixes:
 _NAMES = ["id", "th", "lo", "wins", "before", "around"]
 
 
-def resolve(rows: Suffixes) -> Iterator[pa.RecordBatch]:
+def resolve(rows: Suffixes, whole: bool) -> Iterator[pa.RecordBatch]:
     """All that one bucket of the suffix sort can tell.
 
     A suffix that equals an earlier one in all bytes its windows reach is a repeat as a whole.
-    Of those left, suffixes of the same gram are compared window by window. The first and the
-    last gram of the bucket may go on in the next bucket: what is left of them is handed on.
+    Of those left, suffixes of the same gram are compared window by window. Unless the bucket
+    holds ``whole`` grams, its first and last may go on in the next bucket: what is left of them
+    is handed on, as are grams with too many neighbourhoods.
     """
     if not len(rows.ids):
         return
@@ -229,7 +232,9 @@ def resolve(rows: Suffixes) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(new)
     group = np.cumsum(gram)[first]
     sizes = np.bincount(group)
-    on = (group == 1) | (group == group[-1]) | (sizes[group] > TOGETHER)
+    on = sizes[group] > TOGETHER
+    if not whole:
+        on |= (group == 1) | (group == group[-1])
     yield pa.RecordBatch.from_arrays(rows.columns(order[first[on]], True), _NAMES)
     open_ = ~on & (sizes[group] > 1)
     left, their = order[first[open_]], group[open_]
@@ -265,7 +270,19 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _copied(around, edges[:-1], before, left_edges[:-1], left)
     _copied(around, edges[:-1] + left, after, right_edges[:-1], right)
     ids, th, lo, wins = (c.to_numpy().astype(np.int64) for c in columns[:4])
-    yield from resolve(Suffixes(ids, th, lo, wins, around, edges, left))
+    yield from resolve(Suffixes(ids, th, lo, wins, around, edges, left), whole=False)
+
+
+def _boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that buckets handed on, all of a gram in one partition."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    ids, th, lo, wins, left = (table[n].to_numpy().astype(np.int64) for n in _NAMES[:5])
+    column = table["around"].combine_chunks()
+    around, edges = _flat(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+    yield from resolve(Suffixes(ids, th, lo, wins, around, edges, left), whole=True)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,12 +469,19 @@ def repeated_runs(rows: DataFrame, max_bitmap: int = MAX_BITMAP) -> DataFrame:
     found = saved(map_batches(dealt, _bucket, _FOUND), "suffix_buckets")
     told = found.where("around IS NULL").select("id", "th", "lo", "wins")
 
-    # What the buckets handed on: grams that lie across boundaries, or have too many neighbourhoods.
+    # What the buckets handed on: grams that lie across boundaries meet once more.
+    handed = found.where("around IS NOT NULL").withColumn("gram", F.expr(f"substring(around, before + 1, {GRAM})"))
+    sized = handed.join(handed.groupBy("gram").agg(F.count("*").alias("many")), "gram")
+    near = sized.where(F.col("many") <= HANDED).repartition("gram").select(*_NAMES)
+    met = saved(map_batches(near, _boundary, _FOUND), "boundary_grams")
+
+    # And grams with too many neighbourhoods for a task: each of their windows for itself.
+    far = met.where("around IS NOT NULL").union(sized.where(F.col("many") > HANDED).select(*_NAMES))
     place = F.struct("id", "th", "lo")
-    windows = map_batches(found.where("around IS NOT NULL"), _windows, "id long, th long, lo int, window binary")
-    windows = saved(windows, "boundary_windows")
+    windows = saved(map_batches(far, _windows, "id long, th long, lo int, window binary"), "windows")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     later = windows.join(first.select("window", "first"), "window").where(place != F.col("first"))
+    told = told.union(met.where("around IS NULL").select("id", "th", "lo", "wins"))
     return told.union(later.select("id", "th", "lo", F.lit(1).alias("wins")))
 
 

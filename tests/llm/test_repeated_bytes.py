@@ -54,10 +54,14 @@ def odd_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "together", "max_bitmap"), [(1, 8192, 1 << 24), (2, 8192, 0), (3, 1, 1 << 24), (4, 4, 1 << 24)])
-def test_equals_brute_force(spark, monkeypatch, seed, together, max_bitmap):
+@pytest.mark.parametrize(
+    ("seed", "together", "handed", "max_bitmap"),
+    [(1, 8192, 1 << 16, 1 << 24), (2, 8192, 1 << 16, 0), (3, 1, 1 << 16, 1 << 24), (4, 4, 3, 1 << 24), (5, 8192, 1, 0)],
+)
+def test_equals_brute_force(spark, monkeypatch, seed, together, handed, max_bitmap):
     """Also with grams too frequent for one task, and with the wanted grams found by a join."""
     monkeypatch.setattr(rep, "TOGETHER", together)
+    monkeypatch.setattr(rep, "HANDED", handed)
     rows = list(enumerate(odd_texts(seed)))
     docs = spark.createDataFrame([(*r, "?", 1) for r in rows], "doc_id long, text string, window string, th int")
     found = rep.remove_repeated_bytes(docs.repartition(5), max_bitmap=max_bitmap)
