@@ -17,14 +17,28 @@ register_pickle_by_value(basketflow.llm)
 BATCH_ROWS = 500
 
 
+#: Spark removes the shuffle files of a query when it ends, and not when the driver next collects
+#: its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(frame: DataFrame, label: str) -> DataFrame:
     """The frame written once as Parquet to the shared folder and read again.
 
-    It cuts the lineage, survives lost executors, and gives the planner a size.
+    It cuts the lineage, survives lost executors, and gives the planner a size. What was shuffled
+    to make it is removed, since the table takes its place.
     """
     spark = frame.sparkSession
     path = f"{workspace(spark, label)}/table"
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
