@@ -17,7 +17,7 @@ from basketflow.sources import (
     with_event_time,
 )
 from basketflow.streaming import (
-    compact, merge_totals, read_rejected, read_snapshot, read_totals, start_landing, start_parquet,
+    Account, compact, merge_totals, read_rejected, read_snapshot, read_totals, start_landing, start_parquet,
     start_snapshot, start_totals, stream_landed, workspace,
 )
 
@@ -246,17 +246,19 @@ def _landed(operator: Callable[..., DataFrame], **arguments) -> Query:
     return query
 
 
+def _torn(events: DataFrame) -> DataFrame:
+    """Events as text, those of stores that end in 7 without a time, those in 3 cut short."""
+    odd = events.withColumn("timestamp", F.when(~F.col("store_id").endswith("7"), F.col("timestamp")))
+    event = F.struct(*[F.col(name) for name in events.columns])
+    text = F.to_json(event, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    cut = F.left("value", F.length("value") - 1)
+    torn = F.when(F.col("store_id").endswith("3"), cut).otherwise(F.col("value"))
+    return odd.select("store_id", text.alias("value")).select(torn.alias("value"))
+
+
 def landed_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refused records by reason, where a tenth of the texts is torn and a tenth has no time."""
-    events = _retail_stream(spark, sf_dir)
-    no_time = F.col("store_id").endswith("7")
-    torn = F.col("store_id").endswith("3")
-    odd = events.withColumn("timestamp", F.when(~no_time, F.col("timestamp")))
-    text = F.col("value")
-    raw = odd.withColumn("torn", torn).select(
-        "torn", F.to_json(F.struct(*events.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")
-    ).select(F.when(F.col("torn"), F.left(text, F.length(text) - 1)).otherwise(text).alias("value"))
-    refused = read_rejected(spark, _landing(spark, sf_dir, raw))
+    refused = read_rejected(spark, _landing(spark, sf_dir, _torn(_retail_stream(spark, sf_dir))))
     return refused.groupBy("reason").agg(F.count("*").alias("records"))
 
 
@@ -280,6 +282,56 @@ def _running(total: Total) -> Query:
     return query
 
 
+def binary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed from bytes, as topics hold them."""
+    raw = encode_events(_events(spark, sf_dir)).select(F.col("value").cast("binary"))
+    return _plain(parse_events(raw).select("*", "location.*").drop("location"))
+
+
+def _application(spark: SparkSession, sf_dir: str, **settings) -> tuple[str, list]:
+    """The whole application over the events as JSON text, run to their end."""
+    from basketflow.plans.application import Settings, start
+
+    base = workspace(spark, "application")
+    raw = encode_events(_retail_stream(spark, sf_dir))
+    queries = start(spark, Settings(base, **settings), raw, once=True)
+    for query in queries:
+        query.awaitTermination()
+    return base, queries
+
+
+def _application_table(table: str, **settings) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base, _ = _application(spark, sf_dir, **settings)
+        return _plain(read_result(spark, f"{base}/{table}", table))
+
+    return query
+
+
+def application_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs, by name, and how many records each query has read."""
+    _, queries = _application(spark, sf_dir)
+    rows = [(q.name, sum(p["numInputRows"] for p in q.recentProgress)) for q in queries]
+    return spark.createDataFrame(rows, "name string, input_rows long")
+
+
+def landing_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records taken in and refused, as the progress reports of one ingest add up."""
+    account = Account.open(spark)
+    try:
+        place = workspace(spark, "account")
+        run = start_landing(
+            _torn(_retail_stream(spark, sf_dir)), f"{place}/table", f"{place}/checkpoint", "account", once=True
+        )
+        run.awaitTermination()
+        account.settle([run])
+    finally:
+        account.close(spark)
+    found = account.report()["account"]
+    names = ["records", "no_object", "no_time"]
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def all_queries() -> dict[str, Query]:
     """The catalog; see :func:`basketflow.plans.oracles.all_oracles` for the same in SQL."""
     return {
@@ -330,6 +382,11 @@ def all_queries() -> dict[str, Query]:
         "landed_by_product": _landed(op.aggregate_by_product),
         "landed_demand_peaks": _landed(op.demand_peaks, width=_PEAK_WIDTH),
         "landed_rejected": landed_rejected,
+        "landing_account": landing_account,
+        "binary_events": binary_events,
+        "application_products": _application_table("products"),
+        "application_users_with_landing": _application_table("users", landing=True, running_totals=True, parts=True),
+        "application_queries": application_queries,
         "running_top_viewed_products": _running(totals.views_per_product()),
         "running_average_ticket_per_user": _running(totals.ticket_per_user(ordered=False)),
         "running_visits_by_category": _running(totals.visits_per_category()),

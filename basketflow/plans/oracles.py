@@ -212,10 +212,23 @@ _BODIES = {
         SELECT CASE WHEN store_id LIKE '%3' THEN 'no JSON object' ELSE 'no readable time' END AS reason,
                count(*) AS records
         FROM retail WHERE store_id LIKE '%3' OR store_id LIKE '%7' GROUP BY 1""",
+    "landing_account": """
+        SELECT count(*) AS records, count(*) FILTER (WHERE store_id LIKE '%3') AS no_object,
+               count(*) FILTER (WHERE store_id LIKE '%7') AS no_time
+        FROM retail""",
+    "application_products": _closed(_BY_PRODUCT, "window_end"),
+    "application_users_with_landing": _closed(_BY_USER, "window_end"),
+    "application_queries": """
+        SELECT name, (SELECT count(*) FROM retail) AS input_rows
+        FROM (SELECT unnest([
+          'sales_per_minute', 'top_viewed_products', 'average_ticket_per_user', 'conversion_rate',
+          'visits_by_category', 'demand_peaks', 'aggregate_by_user', 'aggregate_by_category',
+          'aggregate_by_product', 'sales_table']) AS name)""",
     "running_top_viewed_products": _TOP_VIEWED,
     "running_average_ticket_per_user": _TICKETS,
     "running_visits_by_category": _VISITS,
 }
+_BODIES["binary_events"] = _BODIES["parse_events"]
 _BODIES["latest_category_activity_by_day"] = _BODIES["latest_category_activity"]
 
 
