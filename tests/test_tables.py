@@ -196,3 +196,17 @@ def test_flat_streamed_tables_are_refused(spark, drop_files, tmp_path):
 def test_parts_of_a_table_written_without_them_are_null(spark, by_day):
     path, _ = by_day
     assert read_result(spark, path, "categories", parts=True).where("paid_count IS NOT NULL").isEmpty()
+
+
+def test_all_tables_of_a_base_path(spark, drop_files, tmp_path):
+    from basketflow.compact import compact_tables
+    from basketflow.plans.application import Settings, start
+
+    folder = drop_files(*days_of(0, 3))
+    for query in start(spark, Settings(str(tmp_path / "base")), read_events_files(spark, folder), once=True):
+        query.awaitTermination()
+    wanted = {t: rows(read_result(spark, f"{tmp_path}/base/{t}", t)) for t in ("users", "categories", "products")}
+    packed = compact_tables(spark, f"{tmp_path}/base/")
+    # No purchases, so no sales; that table has no day yet.
+    assert packed == {t: [FIRST, FIRST + timedelta(days=1)] for t in ("users", "categories", "products")}
+    assert wanted == {t: rows(read_result(spark, f"{tmp_path}/base/{t}", t)) for t in wanted}
