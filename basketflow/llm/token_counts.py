@@ -1,6 +1,7 @@
 """Token counts of fields and sections: documents are encoded once, tokens assigned by offset."""
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,29 @@ RULES = ("first", "last", "most")
 #: Between the fields of a document; it belongs to the field before it.
 JOINT = b"\n"
 
+#: Fixed value: what the pattern's engine takes for white space.
+_BLANK = "[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: Runs of white space from this length on are kept from the pattern's engine, which needs a
+#: step of its stack for each character and fails at a million.
+LONG_RUN = 10_000
+
+
+def encode(encoding: tiktoken.Encoding, text: str, long_run: int = LONG_RUN) -> list[int]:
+    """The tokens of a text, whatever runs of white space it holds.
+
+    The pattern makes one part of a run of white space, less its last character where other
+    text follows; that part is given to the merges directly, with what stands before and behind
+    it cut by the pattern. The tokens are those of the library for the whole text.
+    """
+    found, at = [], 0
+    for run in re.finditer(f"{_BLANK}{{{long_run},}}", text):
+        stop = run.end() - (run.end() < len(text))
+        found += encoding.encode_ordinary(text[at : run.start()])
+        if stop > run.start():
+            found += encoding._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return found + encoding.encode_ordinary(text[at:])
+
 
 def load_encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoding and the number of bytes of each token."""
@@ -74,7 +98,7 @@ def _count(path: str, rule: str, batches: Iterator[pa.RecordBatch]) -> Iterator[
                 at += len(field) + len(JOINT)
             starts, field = np.concatenate(lines), np.concatenate(owner)
             bounds = np.append(starts, len(document))
-            tokens = np.array(encoding.encode_ordinary(document.decode("utf-8", "replace")), np.int64)
+            tokens = np.array(encode(encoding, document.decode("utf-8", "replace")), np.int64)
             ends = np.cumsum(sizes[tokens])
             begins = ends - sizes[tokens]
             mine = attribute(begins, ends, bounds[:-1], rule)
