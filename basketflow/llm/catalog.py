@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.llm import fill_in_middle, ranked_search, secret_scan
+from basketflow.llm import fill_in_middle, ranked_search, repeated_bytes, secret_scan
 from basketflow.llm.decontamination import contaminated
 from basketflow.llm.pieces import encode_pieces
 from basketflow.llm.quality_classifier import quality_scores
@@ -105,5 +105,6 @@ def llm_oracles() -> dict[str, str]:
     return {
         "op6_secret_scans": secret_scan.oracle_sql(),
         "op11_ranked_search": ranked_search.oracle_sql(),
+        "op12_suffix_array_dedup": repeated_bytes.oracle_sql(),
         "op13_fill_in_middle": fill_in_middle.oracle_sql(),
     }

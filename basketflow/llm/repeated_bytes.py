@@ -521,3 +521,33 @@ def remove_repeated_bytes(
         numbered.select("doc_id", "copy", "data", "runs"), _kept,
         f"doc_id {kind}, n_bytes long, starts array<long>, stops array<long>, kept binary",
     )
+
+
+def oracle_sql() -> str:
+    """The counts and what is left, in SQL (DuckDB), over the digits of each text's bytes."""
+    two = 2 * SIZE
+    return f"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+windows AS (
+  SELECT doc_id, CAST(pos AS BIGINT) AS pos, substr(digits, 2 * pos + 1, {two}) AS bytes
+  FROM (SELECT doc_id, digits, unnest(range(0, length(digits) // 2 - {SIZE - 1})) AS pos
+        FROM texts WHERE length(digits) >= {two})),
+numbered AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, pos) AS place FROM windows),
+again AS (
+  SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {SIZE} AS goes_on
+  FROM numbered WHERE place > 1),
+runs AS (
+  SELECT doc_id, pos, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+  FROM again),
+spans AS (SELECT doc_id, run, min(pos) AS start, max(pos) + {SIZE} AS stop FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, run, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY run), 0) AS since FROM spans),
+left_over AS (
+  SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS last,
+         string_agg(substr(digits, 2 * since + 1, 2 * (start - since)), '' ORDER BY run) AS kept
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(digits) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN digits ELSE kept || substr(digits, 2 * last + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (doc_id)
+"""

@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from basketflow.llm import repeated_bytes as rep
-from basketflow.llm.catalog import llm_queries
+from basketflow.llm.catalog import llm_oracles, llm_queries
 
 SIZE = rep.SIZE
 
@@ -84,7 +85,11 @@ def test_query_on_whole_documents(spark):
     rows = sorted(zip(table["doc_id"], table["text"], strict=True))
     found = llm_queries()["op12_suffix_array_dedup"](spark, sf_dir)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    assert sorted(map(tuple, found.select(names).collect())) == sorted(brute(rows))
+    got = sorted(map(tuple, found.select(names).collect()))
+    assert got == sorted(brute(rows))
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        assert got == sorted(base.execute(llm_oracles()["op12_suffix_array_dedup"]).fetchall())
 
 
 def test_repeated_rows_shared_and_null_ids(spark):
