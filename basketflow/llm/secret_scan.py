@@ -37,7 +37,8 @@ RULES = (
     Rule("hosting", "(?:gho|ghp|ghs|ghu)_[A-Za-z0-9]+", 0, 40),
     Rule("chat", "xox[abp]-[A-Za-z0-9-]+", 0, 20),
     Rule("private", r"-----BEGIN[A-Z\x20]*PRIVATE\x20KEY-----"),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    # The header has a bound, else a run of beginnings without a dot is read to its end from each.
+    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{1,200}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 BASE = 3
 #: Documents of one block of the index.
