@@ -1,5 +1,6 @@
 """A start that asks for something else than its checkpoint holds is refused."""
 
+import json
 import os
 
 import pytest
@@ -11,14 +12,11 @@ from basketflow.streaming.guard import state_partitions
 from tests.conftest import event
 
 
-@pytest.fixture
-def begun(spark, drop_files, tmp_path):
-    folder = drop_files([event("00:01:00"), event("00:20:00")])
-
+def starter(spark, folder, base):
     def go(partitions="4", **settings):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         try:
-            for query in start(spark, Settings(str(tmp_path / "base"), **settings), read_events_files(spark, folder), once=True):
+            for query in start(spark, Settings(base, **settings), read_events_files(spark, folder), once=True):
                 query.awaitTermination()
                 assert query.exception() is None
         finally:
@@ -28,6 +26,22 @@ def begun(spark, drop_files, tmp_path):
     return go
 
 
+@pytest.fixture
+def begun(spark, drop_files, tmp_path):
+    folder = drop_files([event("00:01:00"), event("00:20:00")])
+    return starter(spark, folder, str(tmp_path / "base"))
+
+
+@pytest.fixture(scope="module")
+def shared(spark, tmp_path_factory):
+    """One application, for tests that add nothing to it: its base path, and how to start it."""
+    place = tmp_path_factory.mktemp("guard")
+    (place / "incoming").mkdir()
+    lines = [json.dumps(e | {"timestamp": e["timestamp"].isoformat()}) for e in (event("00:01:00"), event("00:20:00"))]
+    (place / "incoming" / "part-0.json").write_text("\n".join(lines))
+    return place / "base", starter(spark, str(place / "incoming"), str(place / "base"))
+
+
 @pytest.mark.parametrize(
     ("change", "message"),
     [
@@ -38,9 +52,9 @@ def begun(spark, drop_files, tmp_path):
         ({"partitions": "6"}, "in 4 partitions, but spark.sql.shuffle.partitions is 6"),
     ],
 )
-def test_changes_are_refused(spark, begun, change, message):
+def test_changes_are_refused(spark, shared, change, message):
     with pytest.raises(ChangedQuery, match=message):
-        begun(**change)
+        shared[1](**change)
     assert spark.streams.active == []
 
 
@@ -50,13 +64,13 @@ def test_unchanged_start_resumes(spark, begun, drop_files, tmp_path):
     assert read_result(spark, str(tmp_path / "base" / "users"), "users").count() == 3
 
 
-def test_what_may_change(begun):
+def test_what_may_change(shared):
     """How often, how many files and how late: nothing that is in the state."""
-    begun(table_every="1 minute", table_files=1, delay="5 minutes")
+    shared[1](table_every="1 minute", table_files=1, delay="5 minutes")
 
 
-def test_number_of_state_partitions_is_read_from_the_checkpoint(spark, begun, tmp_path):
-    checkpoints = tmp_path / "base" / "_checkpoints"
+def test_number_of_state_partitions_is_read_from_the_checkpoint(spark, shared):
+    checkpoints = shared[0] / "_checkpoints"
     assert state_partitions(spark, str(checkpoints / "aggregate_by_user")) == {"stateStoreSave 0": 4}
     assert state_partitions(spark, str(checkpoints / "none")) == {}
 
@@ -71,14 +85,6 @@ def test_checkpoint_without_a_note_is_taken_as_it_is(begun, tmp_path):
         begun(partitions="6")
 
 
-def test_new_checkpoint_may_differ(spark, drop_files, tmp_path):
-    raw = read_events_files(spark, drop_files([event("00:01:00"), event("00:20:00")]))
-    for width in ("5 minutes", "10 minutes"):
-        settings = Settings(str(tmp_path / width.replace(" ", "")), table_width=width)
-        for query in start(spark, settings, raw, once=True):
-            query.awaitTermination()
-
-
 def test_table_keeps_its_layout(spark, drop_files, tmp_path):
     folder = drop_files([event("00:01:00"), event("00:20:00")])
     base = str(tmp_path / "base")
