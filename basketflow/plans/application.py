@@ -15,7 +15,7 @@ from basketflow.operators.totals import Total
 from basketflow.schema import DAY
 from basketflow.sources import stored_days, with_day
 from basketflow.streaming import (
-    refuse_changes, refuse_lost_checkpoint, start_console, start_landing, start_parquet,
+    Account, refuse_changes, refuse_lost_checkpoint, start_console, start_landing, start_parquet,
     start_totals, stream_landed,
 )
 from basketflow.streaming.guard import describe
@@ -231,10 +231,13 @@ def stop(queries: list[StreamingQuery]) -> None:
 def run(spark: SparkSession, settings: Settings, raw: DataFrame | None = None) -> None:
     """Run until one query ends or fails, then stop the others and the session.
 
-    Prints the schema of the parsed events first. A failure is raised to the caller.
+    Prints the schema of the parsed events first, and at the end what each query read, dropped
+    as late and refused. A failure is raised to the caller.
     """
     queries: list[StreamingQuery] = []
+    account = Account()
     try:
+        spark.streams.addListener(account)
         spark.streams.resetTerminated()
         raw = _topics(spark, settings) if raw is None else raw
         parse_events(raw, settings.delay).printSchema()
@@ -244,4 +247,6 @@ def run(spark: SparkSession, settings: Settings, raw: DataFrame | None = None) -
         try:
             stop(queries)
         finally:
+            for name, sums in account.report().items():
+                print(f"{name}: " + ", ".join(f"{number} {what}" for what, number in sums.items()))
             spark.stop()

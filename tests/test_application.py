@@ -143,6 +143,7 @@ def test_run_for_real(drop_files, tmp_path):
     )
     assert done.returncode == 0, done.stderr[-3000:]
     assert "STOPPED True" in done.stdout
+    assert "conversion_rate: 1 input_rows, 0 late" in done.stdout
     assert "-- location: struct" in done.stdout and "-- event_time: timestamp" in done.stdout
     for heading in ("avg_transaction", "view_count", "purchase_count", "view_to_cart_rate",
                     "|add_to_cart|", "Batch: 0"):
