@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,30 +280,30 @@ class Encoder(dict):
         flat, _, scores = self.encode_many([s])
         return float(scores[0]), flat.tolist()
 
-    def cuts(self, s: str, stop: int) -> list[int]:
-        """Positions from 1 to ``stop`` that no piece crosses."""
-        return [c for c in cut_positions(self.vocabulary, s) if c <= stop]
+    def ends(self, s: str, size: int) -> tuple[int, int] | None:
+        """The first and the last place of the chunk ``s[:size]`` that no piece crosses."""
+        cuts = [c for c in cut_positions(self.vocabulary, s) if c <= size]
+        return (cuts[0], cuts[-1]) if cuts else None
 
-    def matrix(self, s: str, size: int) -> np.ndarray:
+    def matrix(self, s: str, size: int, ends: tuple[int, int] | None, middle: float) -> np.ndarray:
         """Best scores from each entry to each exit of the chunk ``s[:size]``.
 
         Entry i: a piece of the chunk before covers the first i characters. Exit j: the last
         piece covers j characters of what follows (the rest of ``s``). Between the first and
-        the last cut there is one way only, so its score is added to what leads up to it.
+        the last cut (``ends``) there is one way only, so its score ``middle`` is added to what
+        leads up to it.
         """
         width = self.vocabulary.longest
-        cuts = self.cuts(s, size)
-        first, last = (cuts[0], cuts[-1]) if cuts else (size, 0)
+        first, last = ends or (size, 0)
         table = np.full((width, width), _NONE)
         tails = np.full(width, _NONE)
-        if cuts:
-            middle = self.encode(s[first:last])[0] if last > first else 0.0
+        if ends:
             best, _ = forward(self.vocabulary, s[last : size + width], 0, size - last)
             for j in range(min(width, len(s) - size + 1)):
                 tails[j] = middle + best[size - last + j]
         for i in range(min(width, first + 1, size + 1)):
-            best, _ = forward(self.vocabulary, s[: first + (0 if cuts else width)], i, first)
-            if cuts:
+            best, _ = forward(self.vocabulary, s[: first + (0 if ends else width)], i, first)
+            if ends:
                 table[i] = best[first] + tails
             else:
                 for j in range(min(width, len(best) - size)):
@@ -311,20 +312,28 @@ class Encoder(dict):
             table[j, j - size] = max(table[j, j - size], 0.0) if j > size else table[j, j - size]
         return table
 
-    def chunk(self, s: str, size: int, entry: int, leave: int) -> list[int]:
-        """The pieces that start in the chunk, on the best way from ``entry`` to ``leave``."""
-        if entry > size:
-            return []
-        cuts = [c for c in self.cuts(s, size) if c >= entry]
-        if not cuts:
-            best, back = forward(self.vocabulary, s, entry, size)
-            return backtrace(self.vocabulary, s, back, size + leave)
-        best, back = forward(self.vocabulary, s[: cuts[0]], entry, cuts[0])
-        ids = backtrace(self.vocabulary, s, back, cuts[0])
-        ids += self.encode(s[cuts[0] : cuts[-1]])[1]
-        tail = s[cuts[-1] :]
-        best, back = forward(self.vocabulary, tail, 0, size - cuts[-1])
-        return ids + backtrace(self.vocabulary, tail, back, size + leave - cuts[-1])
+    def around(self, head: str, tail: str | None, size: int, entry: int, leave: int) -> tuple[list[int], list[int]]:
+        """The pieces before and after the middle of a chunk, on the best way from ``entry`` to ``leave``.
+
+        ``head`` is what lies before the first cut and ``tail`` what follows the last one, of
+        which ``size`` characters are the chunk's. Without a cut the head is all and has no tail.
+        """
+        if tail is None:
+            if entry > size:
+                return [], []
+            _, back = forward(self.vocabulary, head, entry, size)
+            return backtrace(self.vocabulary, head, back, size + leave), []
+        _, back = forward(self.vocabulary, head, entry, len(head))
+        before = backtrace(self.vocabulary, head, back, len(head))
+        _, back = forward(self.vocabulary, tail, 0, size)
+        return before, backtrace(self.vocabulary, tail, back, size + leave)
+
+    def raw(self, ids) -> bytes:
+        return b"".join(map(self.vocabulary.raw.__getitem__, ids))
+
+
+def _bytes(s: str) -> bytes:
+    return s.replace(SPACE, " ").encode()
 
 
 def decode_ids(vocabulary: Pieces, ids) -> str:
@@ -366,9 +375,9 @@ def boundary_states(matrices: np.ndarray) -> tuple[np.ndarray, float]:
     return states, float(before[-1, 0])
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
+def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)])
-    flat = np.fromiter(chain.from_iterable(values), np.int32, int(ends[-1]))
+    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
@@ -388,14 +397,33 @@ def _encode_whole(path: str, scores_by: str, batches: Iterator[pa.RecordBatch])
 
 
 def _matrices(path: str, scores_by: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk solved once: its matrix, the pieces of its middle, and the text around that."""
     encoder = Encoder(load_pieces(path, scores_by))
     for batch in batches:
-        encoder.encode_many([s.as_py() for s in batch.column(2)])  # what is new is solved in one go
-        found = [encoder.matrix(s.as_py(), n.as_py()).ravel() for s, n in zip(batch.column(2), batch.column(3), strict=True)]
-        flat = np.concatenate(found) if found else np.zeros(0)
+        chunks = [s.as_py() for s in batch.column(3)]
+        sizes = batch.column(4).to_pylist()
+        ends = [encoder.ends(s, n) for s, n in zip(chunks, sizes, strict=True)]
+        middles = [s[e[0] : e[1]] if e else "" for s, e in zip(chunks, ends, strict=True)]
+        flat, until, scores = encoder.encode_many(middles)
+        found, same, heads, tails, rest = [], [], [], [], []
+        for i, (s, n, e) in enumerate(zip(chunks, sizes, ends, strict=True)):
+            found.append(encoder.matrix(s, n, e, float(scores[i])).ravel())
+            same.append(encoder.raw(flat[until[i] : until[i + 1]].tolist()) == _bytes(middles[i]))
+            heads.append(s[: e[0]] if e else s)
+            tails.append(s[e[1] :] if e else None)
+            rest.append(n - e[1] if e else n)
         width = encoder.vocabulary.longest**2
-        matrices = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * width), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), matrices], ["row", "chunk", "matrix"])
+        matrices = pa.ListArray.from_arrays(
+            pa.array(np.arange(len(found) + 1, dtype=np.int32) * width), pa.array(np.concatenate(found) if found else np.zeros(0))
+        )
+        middle = [zstandard.compress(flat[a:b].astype("<i4").tobytes(), 1) for a, b in zip(until, until[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:3], matrices, pa.array(middle, pa.binary()), pa.array(same, pa.bool_()), pa.array(heads, pa.string()),
+                pa.array(tails, pa.string()), pa.array(rest, pa.int32()),
+            ],
+            ["row", "doc_id", "chunk", "matrix", "middle", "same", "head", "tail", "rest"],
+        )
 
 
 def _states(table: pa.Table) -> pa.Table:
@@ -412,16 +440,21 @@ def _states(table: pa.Table) -> pa.Table:
 
 
 def _backtraces(path: str, scores_by: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's pieces: those around the middle, now that its two states are known."""
     encoder = Encoder(load_pieces(path, scores_by))
     for batch in batches:
-        row, chunk, s, n, entry, leave, score = batch.columns
-        encoder.encode_many([x.as_py() for x in s])
+        row, chunk, middle, middle_same, head, tail, rest, entry, leave, score = batch.columns
         ids, same = [], []
-        for text, size, i, j in zip(s, n, entry, leave, strict=True):
-            text, size, i, j = text.as_py(), size.as_py(), i.as_py(), j.as_py()
-            ids.append(encoder.chunk(text, size, i, j))
-            raw = b"".join([encoder.vocabulary.raw[x] for x in ids[-1]])
-            same.append(raw == text[i : size + j].replace(SPACE, " ").encode())
+        for k in range(batch.num_rows):
+            h, t, n, i, j = (c[k].as_py() for c in (head, tail, rest, entry, leave))
+            before, after = encoder.around(h, t, n, i, j)
+            inner = np.frombuffer(zstandard.decompress(middle[k].as_py()), "<i4")
+            ids.append(np.concatenate([np.array(before, np.int32), inner, np.array(after, np.int32)]))
+            if t is None:
+                good = encoder.raw(before) == _bytes(h[i : n + j])
+            else:
+                good = encoder.raw(before) == _bytes(h[i:]) and encoder.raw(after) == _bytes(t[: n + j])
+            same.append(good and middle_same[k].as_py())
         yield pa.RecordBatch.from_arrays([row, chunk, _lists(ids), score, pa.array(same, pa.bool_())], ["row", "chunk", "ids", "score", "same"])
 
 
@@ -460,20 +493,27 @@ def encode_pieces(
     ).select("row.doc_id", "ids", "score", "round_trip")
     ahead = 64  # characters after a chunk that its last piece may cover
     long = source.where(F.length("s") > chunk).withColumn("row", F.monotonically_increasing_id())
-    chunks = saved(
-        long.withColumn("chunk", F.explode(F.expr(f"sequence(0, cast((length(s) - 1) div {chunk} AS int))"))).selectExpr(
-            "row", "doc_id", "chunk", f"substring(s, chunk * {chunk} + 1, {chunk + ahead}) AS s",
-            f"least({chunk}, length(s) - chunk * {chunk}) AS size",
-        ).repartition("row", "chunk"),
+    chunks = long.withColumn(
+        "chunk", F.explode(F.expr(f"sequence(0, cast((length(s) - 1) div {chunk} AS int))"))
+    ).selectExpr(
+        "row", "doc_id", "chunk", f"substring(s, chunk * {chunk} + 1, {chunk + ahead}) AS s",
+        f"least({chunk}, length(s) - chunk * {chunk}) AS size",
+    ).repartition("row", "chunk")
+    solved = saved(
+        map_batches(
+            chunks, lambda batches: _matrices(model, scores, batches),
+            f"row long, doc_id {kind}, chunk int, matrix array<double>, middle binary, same boolean,"
+            " head string, tail string, rest int",
+        ),
         "chunks",
     )
-    matrices = map_batches(
-        chunks.select("row", "chunk", "s", "size"), lambda batches: _matrices(model, scores, batches),
-        "row long, chunk int, matrix array<double>",
+    states = solved.select("row", "chunk", "matrix").groupBy("row").applyInArrow(
+        _states, "row long, chunk int, entry long, leave long, score double"
     )
-    states = matrices.groupBy("row").applyInArrow(_states, "row long, chunk int, entry long, leave long, score double")
     traced = map_batches(
-        chunks.join(states, ["row", "chunk"]).select("row", "chunk", "s", "size", "entry", "leave", "score"),
+        solved.join(states, ["row", "chunk"]).select(
+            "row", "chunk", "middle", "same", "head", "tail", "rest", "entry", "leave", "score"
+        ),
         lambda batches: _backtraces(model, scores, batches),
         "row long, chunk int, ids array<int>, score double, same boolean",
     )
@@ -481,7 +521,7 @@ def encode_pieces(
         F.expr("flatten(transform(sort_array(collect_list(struct(chunk, ids))), x -> x.ids))").alias("ids"),
         F.first("score").alias("score"), F.min("same").alias("round_trip"),
     )
-    names = chunks.where("chunk = 0").select("row", "doc_id")
+    names = solved.where("chunk = 0").select("row", "doc_id")
     whole = joined.join(names, "row").select("doc_id", "ids", "score", "round_trip")
     return short.unionByName(whole).select("doc_id", F.size("ids").alias("n_tokens"), "ids", "score", "round_trip")
 
