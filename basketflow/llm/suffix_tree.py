@@ -1,8 +1,4 @@
-"""Language-model scores from a probabilistic suffix tree over words.
-
-:func:`lm_scores` uses the whole tree, which is a table (:func:`whole_tree`). :func:`fit` and
-:func:`walk` are the same model cut down to frequent words, for use within one process.
-"""
+"""Language-model scores from a probabilistic suffix tree over words, kept as tables."""
 
 from collections import Counter
 from collections.abc import Iterator
@@ -18,40 +14,16 @@ from basketflow.llm.common import map_batches, saved, texts, words
 
 #: Words whose counts every task knows; counts of the others are joined.
 KNOWN = 200_000
-#: The most frequent words are symbols of their own in next-symbol distributions. The others
-#: share one symbol, within which a word has its share of their counts.
-SYMBOLS = 2048
-#: Contexts of 1, 2 and 3 words are sought among so many of the most frequent words.
-ALPHABETS = (256, 64, 16)
-#: Contexts that are retained at most (the best by the test), and their least occurrences.
-MAX_CONTEXTS = 1024
+#: Least occurrences of a context.
 MIN_OCCURRENCES = 30
 ADDED = 0.1
-#: Words of the longest context of the whole tree.
+#: Words of the longest context.
 DEPTH = 3
-#: Entries of the whole tree that every task has at hand, at most; the others are joined.
+#: Entries of the tree that every task has at hand, at most; the others are joined.
 AT_HAND = 1 << 21
 _FLUSH = 400_000
 _CELLS = 2_000_000
-_BITMAP = 21  # the bitmap of keys has 64 << this bits
-
-OTHER, END = SYMBOLS, SYMBOLS + 1
-_WIDTH = SYMBOLS + 2
-_SIZES = [c ** (d + 1) for d, c in enumerate(ALPHABETS)]
-_FIRST = [int(x) for x in np.concatenate([[0], np.cumsum(_SIZES)])]
-
-
-@dataclass
-class Model:
-    """A tree of frequent words only, that one task can hold: bounded by the constants above."""
-
-    hashes: np.ndarray  # of the known words, most frequent first
-    counts: np.ndarray  # theirs
-    train_docs: int
-    train_tokens: int
-    train_types: int
-    states: np.ndarray  # context number -> row of ``log_p``, or -1; row 0 is the root
-    log_p: np.ndarray  # log10 of the next-symbol distributions
+_BITMAP = 21  # a bitmap of keys has 64 << this bits at most
 
 
 def word_hash(word: bytes) -> int:
@@ -93,113 +65,6 @@ class Ranks(dict):
         return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
-def contexts(ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth: positions (the end included) that have such a context, and its number."""
-    found = []
-    last = np.where(ranks < 0, np.iinfo(np.int32).max, ranks).astype(np.int64)
-    for d, alphabet in enumerate(ALPHABETS):
-        at = np.arange(d + 1, len(ranks) + 1)
-        number = np.full(len(at), _FIRST[d])
-        inside = np.ones(len(at), bool)
-        for back in range(d + 1):
-            word = last[at - 1 - back]
-            inside &= word < alphabet
-            number = number + np.where(word < alphabet, word, 0) * alphabet**back
-        found.append((at[inside], number[inside]))
-    return found
-
-
-def parents() -> np.ndarray:
-    """The context one word shorter of each context, -1 (the root) for those of one word."""
-    up = [np.full(_SIZES[0], -1)]
-    for d in range(1, len(ALPHABETS)):
-        number, above = np.arange(_SIZES[d]), np.full(_SIZES[d], _FIRST[d - 1])
-        for back in range(d):
-            above = above + (number // ALPHABETS[d] ** back % ALPHABETS[d]) * ALPHABETS[d - 1] ** back
-        up.append(above)
-    return np.concatenate(up)
-
-
-def symbols(ranks: np.ndarray) -> np.ndarray:
-    """The symbol of each word, then the end."""
-    return np.append(np.where((ranks < 0) | (ranks >= SYMBOLS), OTHER, ranks), END)
-
-
-def _count_cells(hashes: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ranks_of, held, size = Ranks(hashes), [], 0
-
-    def out() -> pa.RecordBatch:
-        cell, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
-
-    for batch in batches:
-        for text in texts(batch.column(0)):
-            ranks = ranks_of.of(words(text))
-            next_symbol = symbols(ranks)
-            for at, number in contexts(ranks):
-                held.append(number * _WIDTH + next_symbol[at])
-                size += len(at)
-            if size > _CELLS:
-                yield out()
-                held, size = [], 0
-    yield out()
-
-
-def _log10(values: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log10(values)
-
-
-def build_tree(cells: DataFrame, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Retained contexts and smoothed distributions: ``states`` and ``log_p`` of a model.
-
-    A context is retained if its parent is, it occurs often enough, and its next symbols
-    diverge from the parent's: the log-likelihood ratio exceeds that of as many free
-    parameters as it has symbols (half the log of its occurrences each). Each distribution is
-    mixed with its parent's, which weighs as much as the context has different next symbols.
-    """
-    spark = cells.sparkSession
-    up = parents()
-    split = cells.selectExpr(f"cast(cell div {_WIDTH} AS int) AS context", f"cast(cell % {_WIDTH} AS int) AS symbol", "n")
-    links = spark.createDataFrame([(i, int(p)) for i, p in enumerate(up)], "context int, parent int")
-    root_cells = spark.createDataFrame(
-        [(-1, i, float(p)) for i, p in enumerate(root)], "parent int, symbol int, p double"
-    )
-    totals = split.groupBy("context").agg(F.sum("n").alias("occurrences"), F.count("*").alias("kinds"))
-    totals = saved(totals, "contexts")  # at most as many rows as there are contexts
-    shares = split.join(F.broadcast(totals), "context").selectExpr(
-        "context AS parent", "symbol", "n / occurrences AS p"
-    ).unionByName(root_cells)
-    ratio = (
-        split.join(F.broadcast(links), "context")
-        .join(shares, ["parent", "symbol"])
-        .join(F.broadcast(totals), "context")
-        .groupBy("context")
-        .agg(F.sum(F.expr("n * ln(n / occurrences / p)")).alias("ratio"))
-    )
-    table = totals.join(ratio, "context").toPandas().sort_values("context")
-    gain = table.ratio - table.kinds * np.log(table.occurrences) / 2
-    good = table[(gain > 0) & (table.occurrences >= MIN_OCCURRENCES)].assign(gain=gain)
-    kept = set(good.sort_values(["gain", "context"], ascending=[False, True]).context[:MAX_CONTEXTS].tolist())
-    for d in range(1, len(ALPHABETS)):
-        kept = {c for c in kept if not _FIRST[d] <= c < _FIRST[d + 1] or int(up[c]) in kept}
-    order = sorted(kept)  # parents first: shorter contexts have smaller numbers
-    states = np.full(_FIRST[-1], -1, np.int32)
-    states[order] = np.arange(1, len(order) + 1)
-    counts = np.zeros((len(order) + 1, _WIDTH))
-    if order:
-        wanted = spark.createDataFrame([(c,) for c in order], "context int")
-        chosen = split.join(F.broadcast(wanted), "context").toPandas()
-        counts[states[chosen.context.to_numpy()], chosen.symbol.to_numpy()] = chosen.n.to_numpy()
-    p = np.empty_like(counts)
-    p[0] = root
-    for row, context in enumerate(order, 1):
-        above = p[states[up[context]]] if up[context] >= 0 else p[0]
-        weight = np.count_nonzero(counts[row])
-        p[row] = (counts[row] + weight * above) / (counts[row].sum() + weight)
-    return states, _log10(p)
-
-
 @dataclass
 class Words:
     """Counts of the known words, most frequent first, and of the corpus."""
@@ -222,49 +87,13 @@ def count_words(text: DataFrame) -> tuple[Words, DataFrame]:
     )
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_docs = text.count()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()
     known = Words(
-        top.h.to_numpy(np.int64), top.c.to_numpy(np.int64), n_docs, int(total) + n_docs, int(types) + (n_docs > 0)
+        top["h"].to_numpy(), top["c"].to_numpy(), n_docs, int(total) + n_docs, int(types) + (n_docs > 0)
     )
     return known, counts
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The bounded tree of all rows of ``docs``, and the counts ``(h, c)`` of all their words.
-
-    Two passes: word counts, then counts of what follows the candidate contexts. Both are
-    added up per task before the shuffle, so a hot word or context is one row of each task.
-    """
-    spark = docs.sparkSession
-    text = docs.select(F.col(text_col).alias("text"))
-    words_, counts = count_words(text)
-    hashes, known, n_docs = words_.hashes, words_.counts, words_.train_docs
-    shared = spark.sparkContext.broadcast(hashes)
-    cells = saved(
-        map_batches(text, lambda batches: _count_cells(shared.value, batches), "cell long, n long")
-        .groupBy("cell").agg(F.sum("n").alias("n")),
-        "context_counts",
-    )
-    root = np.zeros(_WIDTH)
-    root[: min(SYMBOLS, len(known))] = known[:SYMBOLS]
-    root[OTHER] = words_.train_tokens - n_docs - known[:SYMBOLS].sum()
-    root[END] = n_docs
-    root = (root + 0.5) / (root.sum() + 0.5 * _WIDTH)
-    states, log_p = build_tree(cells, root)
-    model = Model(hashes, known, n_docs, words_.train_tokens, words_.train_types, states, log_p)
-    return model, counts
-
-
-def walk(model: Model, ranks: np.ndarray) -> float:
-    """Sum of log10 of each symbol (the end included) in the state of its longest context."""
-    state = np.zeros(len(ranks) + 1, np.int64)
-    for at, number in contexts(ranks):
-        found = model.states[number]
-        state[at[found >= 0]] = found[found >= 0]
-    return float(model.log_p[state, symbols(ranks)].sum())
-
-
-# --- the whole tree, as a table
 
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -311,47 +140,60 @@ def runs(sequence: np.ndarray, longest: int) -> list[np.ndarray]:
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the column ``key``. Others' bits may be set by chance: what passes is looked up."""
-    rows = keys.groupBy(F.expr(f"shiftrightunsigned(key, {64 - _BITMAP})").alias("at")).agg(
+    """Bits of the column ``key``. Others' bits may be set by chance: what passes is looked up.
+
+    Sixteen bits or more for each key, up to 64 << ``_BITMAP`` bits in all.
+    """
+    wanted = max(keys.count(), 1) * 16 // 64
+    width = min(max(wanted.bit_length(), 10), _BITMAP)
+    rows = keys.groupBy(F.expr(f"shiftrightunsigned(key, {64 - width})").alias("at")).agg(
         F.expr("bit_or(shiftleft(1L, cast(key & 63 AS int)))").alias("bits")
-    ).toPandas()
-    found = np.zeros(1 << _BITMAP, np.int64)
-    found[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    ).toArrow()
+    found = np.zeros(1 << width, np.int64)
+    found[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return found.view(np.uint64)
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys.view(np.uint64)
-    return (bits[at >> np.uint64(64 - _BITMAP)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    width = len(bits).bit_length() - 1
+    return (bits[at >> np.uint64(64 - width)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _count_next(shared, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (context of so many words, next word or end), of the contexts in the bitmap."""
+def _count_next(shared, depths: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (context, next word or end) for contexts of so many words.
+
+    Counted are contexts whose runs of the least of these lengths are all in the bitmap.
+    """
     bits, hashes, held, size = shared.value, Hashes(), [], 0
+    least = depths[0]
 
     def out() -> Iterator[pa.RecordBatch]:
-        context, following = (np.concatenate(c) for c in zip(*held, strict=True))
+        depth, context, following = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((following, context))
-        context, following = context[order], following[order]
+        depth, context, following = depth[order], context[order], following[order]
         new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (following[1:] != following[:-1])))
         n = np.diff(np.append(new, len(context)))
         for at in range(0, len(new), 100_000):
             some = new[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(context[some]), pa.array(following[some]), pa.array(n[at : at + 100_000].astype(np.int64))],
-                ["context", "next", "n"],
-            )
+            columns = [depth[some], context[some], following[some], n[at : at + 100_000].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["depth", "context", "next", "n"])
 
     for batch in batches:
         for text in texts(batch.column(0)):
             sequence = hashes.of(words(text))
-            if len(sequence) <= depth:
+            if len(sequence) <= least:
                 continue
-            context = runs(sequence[:-1], depth)[-1]
-            inside = in_bitmap(bits, context)
-            if inside.any():
-                held.append((context[inside], sequence[depth:][inside]))
-                size += len(held[-1][0])
+            found = runs(sequence[:-1], min(depths[-1], len(sequence) - 1))
+            inside = in_bitmap(bits, found[least - 1])
+            for depth in range(least, len(found) + 1):
+                if depth > least:
+                    inside = inside[:-1] & inside[1:]
+                if not inside.any():
+                    break
+                at = np.flatnonzero(inside)
+                held.append((np.full(len(at), depth, np.int32), found[depth - 1][at], sequence[depth:][at]))
+                size += len(at)
             if size > _CELLS:
                 yield from out()
                 held, size = [], 0
@@ -359,69 +201,110 @@ def _count_next(shared, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         yield from out()
 
 
-def whole_tree(text: DataFrame, known: Words, counts: DataFrame) -> DataFrame:
-    """All retained contexts as a table ``key, value, n``: what a run of words adds to a score.
+def _counted(text: DataFrame, bits: np.ndarray, depths: list[int]) -> DataFrame:
+    """``depth, context, next, n``, written: next words seen once after a context as one, null."""
+    shared = text.sparkSession.sparkContext.broadcast(bits)
+    pairs = map_batches(
+        text, lambda batches: _count_next(shared, depths, batches), "depth int, context long, next long, n long"
+    ).groupBy("depth", "context", "next").agg(F.sum("n").alias("n"))
+    pooled = pairs.selectExpr("depth", "context", "if(n > 1, next, null) AS next", "n")
+    found = saved(pooled.groupBy("depth", "context", "next").agg(F.sum("n").alias("n")), "next_words")
+    shared.destroy()  # what it was needed for is written
+    return found
 
-    A context of 1, 2 or 3 words is a candidate if it occurs often enough (which a longer one
-    can only if the shorter ones do), whatever its words; its next symbols are all words and
-    the end. It is retained by the test of :func:`build_tree`, and smoothed towards its parent
-    in the same way; the root is the base distribution. Neither number nor rank is bounded.
 
-    A text's score is its base score and the values of all its runs of up to four words. A run
-    is the key of two things. As a context with its next word it adds the log of p over the
-    parent's p, less that of a word never seen there; as a context, the log of a never seen
-    word's p over the parent's p. Values of contexts that are not retained are missing, so
-    the longest retained context's p remains.
+def whole_tree(
+    text: DataFrame, known: Words, counts: DataFrame, depth: int = DEPTH, least: int = MIN_OCCURRENCES
+) -> DataFrame:
+    """All retained contexts as rows ``key, value, n``: what a run of words adds to a score.
+
+    A context of up to ``depth`` words is a candidate if it occurs ``least`` times (which a longer
+    one can only if the shorter ones do), whatever its words. Its next symbols are the words, and
+    the end, that follow it more than once; all that follow it once are one symbol more. It is
+    retained if its parent is, and if its next symbols diverge from the parent's: the
+    log-likelihood ratio exceeds that of as many free parameters as it has symbols (half the log
+    of its occurrences each).
+
+    Its distribution is mixed with its parent's, which weighs as much as the context has
+    different next words, and gets what followed once besides: that tells how often something
+    new follows, and nothing about what. The root is the base distribution. Neither number nor
+    rank is bounded.
+
+    A text's score is its base score and the values of all its runs of words. A run is the key
+    of two things. As a context with its next word it adds the log of p over the parent's p,
+    less that of a word never seen there; as a context, the log of a never seen word's p over
+    the parent's p. Values of contexts that are not retained are missing, so the longest
+    retained context's p remains. Both things may have a row; their values add up.
     """
     spark = text.sparkSession
     root = f"(c + {ADDED}D) / {known.train_tokens + ADDED * (known.train_types + 1)!r}D"
     end = spark.createDataFrame([(END_HASH, known.train_docs)], "h long, c long")
     above = counts.select("h", "c").union(end).selectExpr("h AS up", f"{root} AS share", f"{root} AS p")
-    candidates = counts.where(f"c >= {MIN_OCCURRENCES}").selectExpr("h AS context", "h AS parent")
-    parts = []
-    for depth in range(1, DEPTH + 1):
-        shared = spark.sparkContext.broadcast(bitmap(candidates.selectExpr("context AS key")))
-        pairs = map_batches(
-            text, lambda batches, s=shared, d=depth: _count_next(s, d, batches), "context long, next long, n long"
-        ).groupBy("context", "next").agg(F.sum("n").alias("n"))
-        if depth == 1:  # every other context by chance in the bitmap occurs too rarely
-            cells = pairs.selectExpr("context", "next", "n", "next AS up")
-        else:
-            cells = pairs.join(candidates, "context").selectExpr("context", "next", "n", "xxhash64(parent, next) AS up")
-        cells = saved(cells.join(above, "up", "left"), f"next_of_{depth}")
+    candidates = counts.where(f"c >= {least}").selectExpr("h AS context", "h AS parent")
+    parts, counted = [], None
+    for words_ in range(1, depth + 1):
+        if words_ <= 2:  # two passes: the longer contexts are counted with those of two words
+            bits = bitmap(candidates.selectExpr("context AS key"))
+            counted = _counted(text, bits, [1] if words_ == 1 else list(range(2, depth + 1)))
+        # Contexts that are in the bitmap by chance are no candidates.
+        cells = counted.where(F.col("depth") == words_).join(candidates, "context")
+        cells = saved(
+            cells.selectExpr(
+                "context", "next", "n",
+                "next AS up" if words_ == 1 else "if(next IS NULL, null, xxhash64(parent, next)) AS up",
+            ).join(above, "up", "left"),
+            f"cells_of_{words_}",
+        )
+        grouped = cells.groupBy("context").agg(
+            F.sum("n").alias("total"), F.sum(F.expr("if(next IS NULL, n, 0L)")).alias("once"),
+            F.count("next").alias("kept"), F.count("share").alias("found"), F.sum("share").alias("shares"),
+            F.sum(F.expr("n * ln(n / share)")).alias("logs"),
+        )
+        other = "if(once > 0, once * ln(once / greatest(1D - coalesce(shares, 0D), 1e-12D)), 0D)"
         retained = saved(
-            cells.where("p IS NOT NULL").groupBy("context").agg(
-                F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.expr("n * ln(n / share)")).alias("logs")
-            ).where(f"total >= {MIN_OCCURRENCES} AND logs - total * ln(total) - kinds * ln(total) / 2 > 0")
-            .selectExpr("context", "total", "kinds", "log10(kinds / (total + kinds)) AS unseen"),
-            f"retained_of_{depth}",
+            grouped.where(
+                f"total >= {least} AND found = kept AND (kept > 0 OR once > 0) AND coalesce(logs, 0D) + {other}"
+                " - total * ln(total) - (kept + if(once > 0, 1, 0)) * ln(total) / 2 > 0"
+            ).selectExpr(
+                "context", "total", "once", "kept + once AS kinds",
+                "log10((kept + 2 * once) / (total + kept + once)) AS unseen",
+            ),
+            f"retained_of_{words_}",
         )
+        mixed = "(n + (kinds + once) * p) / (total + kinds)"
         level = saved(
-            cells.join(retained, "context").selectExpr(
-                "xxhash64(context, next) AS key", "n", "n / total AS share", "(n + kinds * p) / (total + kinds) AS p",
-                "log10((n + kinds * p) / (total + kinds) / p) - unseen AS value",
+            cells.where("next IS NOT NULL").join(retained, "context").selectExpr(
+                "xxhash64(context, next) AS key", "n", "n / total AS share", f"{mixed} AS p",
+                f"log10({mixed} / p) - unseen AS value",
             ),
-            f"level_{depth}",
+            f"level_{words_}",
         )
         parts += [level.select("key", "value", "n"), retained.selectExpr("context AS key", "unseen AS value", "total AS n")]
-        candidates = cells.where(f"n >= {MIN_OCCURRENCES} AND next <> {END_HASH}L").selectExpr(
+        candidates = cells.where(f"n >= {least} AND next <> {END_HASH}L").selectExpr(
             "xxhash64(context, next) AS context", "up AS parent"
         )
         above = level.selectExpr("key AS up", "share", "p")
     table = parts[0]
     for part in parts[1:]:
         table = table.union(part)
-    return saved(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree")
+    return table
 
 
 def at_hand(tree: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys of the tree and their values, the rarer first; not all of a tie."""
-    found = tree.groupBy("n").agg(F.count("*").alias("keys")).toPandas().sort_values("n", ascending=False)
-    fit_in = found[found["keys"].cumsum() <= AT_HAND]
+    """The most frequent keys of the tree and their values, the rarer first; not all of a tie.
+
+    A run's number of occurrences is the same as a context and with its last word as the next
+    one, so the rows of a key are taken together or not at all.
+    """
+    found = tree.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).toArrow()
+    fit_in = found["n"].to_numpy()[np.cumsum(found["keys"].to_numpy()) <= AT_HAND]
     if not len(fit_in):
         return np.zeros(0, np.int64), np.zeros(0)
-    rows = tree.where(F.col("n") >= int(fit_in["n"].min())).toPandas().sort_values(["n", "key"])
-    return rows["key"].to_numpy(np.int64), rows["value"].to_numpy(float)
+    rows = tree.where(F.col("n") >= int(fit_in[-1])).groupBy("key").agg(
+        F.sum("value").alias("value"), F.max("n").alias("n")
+    ).toArrow()
+    order = np.lexsort((rows["key"].to_numpy(), rows["n"].to_numpy()))
+    return rows["key"].to_numpy()[order], rows["value"].to_numpy()[order]
 
 
 class Values:
@@ -453,7 +336,7 @@ class Values:
         return total, keys
 
 
-def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(shared, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, keys, values, bits = shared.value
     known = Words(**known)
     ranks_of, hashes, tree = Ranks(known.hashes), Hashes(), Values(keys, values)
@@ -472,7 +355,7 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 ranks, sequence = ranks_of.of(found), hashes.of(found)
                 of_known = ranks[ranks >= 0]
                 rare.append(sequence[:-1][ranks < 0])
-                levels = runs(sequence, DEPTH + 1)
+                levels = runs(sequence, depth + 1)
                 levels[0] = sequence[:-1]
                 gained, left = tree.sum(np.concatenate(levels))
                 deep.append(left[in_bitmap(bits, left)])
@@ -487,7 +370,10 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def score(docs: DataFrame, known: Words, counts: DataFrame, tree: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, known: Words, counts: DataFrame, tree: DataFrame, keep: list[str], text_col: str = "text",
+    depth: int = DEPTH,
+) -> DataFrame:
     """Base and model scores of every row, beside the columns ``keep``.
 
     Frequent words and runs are scored where they are read. The rest, hashed, are joined with
@@ -499,7 +385,7 @@ def score(docs: DataFrame, known: Words, counts: DataFrame, tree: DataFrame, kee
     kind = source.schema["row"].dataType.simpleString()
     parts = saved(
         map_batches(
-            source, lambda batches: _score(shared, batches),
+            source, lambda batches: _score(shared, depth, batches),
             f"row {kind}, n_tokens long, n_known long, base double, gain double, rare array<long>, deep array<long>",
         ).withColumn("part", F.monotonically_increasing_id()),
         "score_parts",
@@ -525,9 +411,13 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds) == fold
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = MIN_OCCURRENCES
+) -> DataFrame:
     """Score every row, learning from the nine tenths that are not held out.
 
+    ``depth`` is the number of words of the longest context, ``least`` how often one must occur.
+
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Tokens
     are lower-cased words and one end; ``score`` is the model's log10 probability of them.
 
@@ -540,4 +430,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     learned = flagged.where("NOT held_out").select("text")
     known, counts = count_words(learned)
-    return score(flagged, known, counts, whole_tree(learned, known, counts), ["doc_id", "held_out"])
+    return score(flagged, known, counts, whole_tree(learned, known, counts, depth, least), ["doc_id", "held_out"], depth=depth)

@@ -266,8 +266,15 @@ def test_chunks_give_the_best_of_the_whole(vocabulary, size):
     for _ in range(30):
         s = SPACE + random_text(rng).replace(" ", rng.choice([SPACE, "t"]))
         parts = [(s[a : a + size + 64], min(size, len(s) - a)) for a in range(0, len(s), size)]
-        states, score = boundary_states(np.stack([encoder.matrix(*p) for p in parts]))
-        ids = [i for p, a, b in zip(parts, states, states[1:], strict=False) for i in encoder.chunk(*p, int(a), int(b))]
+        ends = [encoder.ends(*p) for p in parts]
+        middles = [encoder.encode(p[0][e[0] : e[1]]) if e else (0.0, []) for p, e in zip(parts, ends, strict=True)]
+        matrices = [encoder.matrix(*p, e, m[0]) for p, e, m in zip(parts, ends, middles, strict=True)]
+        states, score = boundary_states(np.stack(matrices))
+        ids = []
+        for (text, n), e, m, a, b in zip(parts, ends, middles, states, states[1:], strict=False):
+            head, tail, rest = (text[: e[0]], text[e[1] :], n - e[1]) if e else (text, None, n)
+            before, after = encoder.around(head, tail, rest, int(a), int(b))
+            ids += [*before, *m[1], *after]
         assert score == encoder.encode(s)[0]
         assert b"".join(vocabulary.raw[i] for i in ids).decode() == s.replace(SPACE, " ")
 
@@ -338,20 +345,33 @@ def test_base_scores(docs, texts):
 
 
 def test_distributions_sum_to_one(docs):
-    model, _ = suffix_tree.fit(docs)
-    assert np.allclose((10**model.log_p).sum(axis=1), 1)
-    assert (model.states >= 0).sum() > 0
-
-
-def test_longest_context_is_used(monkeypatch):
-    log_p = np.zeros((3, suffix_tree._WIDTH))
-    log_p[1], log_p[2] = -1, -10
-    states = np.full(suffix_tree._FIRST[-1], -1, np.int32)
-    states[5] = 1  # after word 5
-    states[suffix_tree._FIRST[1] + 5 + 3 * suffix_tree.ALPHABETS[1]] = 2  # after words 3, 5
-    model = suffix_tree.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 1, 1, states, log_p)
-    assert suffix_tree.walk(model, np.array([5, 7], np.int32)) == -1
-    assert suffix_tree.walk(model, np.array([3, 5, 7], np.int32)) == -10
+    """Each retained one-word context's chances of all words, the end and one unknown word."""
+    learned = docs.select("text")
+    known, counts = suffix_tree.count_words(learned)
+    tree = Counter()
+    for r in suffix_tree.whole_tree(learned, known, counts, depth=1).collect():
+        tree[r.key] += r.value
+    norm = known.train_tokens + 0.1 * (known.train_types + 1)
+    base = {r.h: (r.c + 0.1) / norm for r in counts.collect()}
+    base[suffix_tree.END_HASH] = (known.train_docs + 0.1) / norm
+    words = np.array(list(base), np.int64)
+    contexts = [h for h in base if h in tree]
+    assert len(contexts) > 3
+    for context in contexts[:50]:
+        runs = suffix_tree.extend(np.full(len(words), context), words).tolist()
+        cells = zip(words.tolist(), runs, strict=True)
+        seen = sum(base[h] * 10 ** (tree[context] + tree.get(run, 0.0)) for h, run in cells)
+        assert math.isclose(seen + 0.1 / norm * 10 ** tree[context], 1, rel_tol=1e-6)
+
+
+def test_longest_context_is_used(spark):
+    """After "b" comes "x", but after "a b" always "y"."""
+    text = "a b y " * 40 + "c b x " * 160
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    short, long = (
+        {r.doc_id: r.score for r in suffix_tree.lm_scores(docs, depth=depth).collect()}[1] for depth in (1, 2)
+    )
+    assert long > short + 20
 
 
 # --- benchmark passages

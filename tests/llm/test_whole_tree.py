@@ -30,15 +30,20 @@ def plain_scores(texts, held):
             continue
         up = following.get(c[1:])
         share = (lambda w: words[w] / norm + 0.1 / norm) if len(c) == 1 else (lambda w, up=up, t=sum(up.values()): up[w] / t)
-        ratio = sum(k * math.log(k / total / share(w)) for w, k in n.items())
-        if ratio - len(n) * math.log(total) / 2 > 0:
-            tree[c] = n, total
+        kept = {w: k for w, k in n.items() if k > 1}
+        once = len(n) - len(kept)
+        ratio = sum(k * math.log(k / total / share(w)) for w, k in kept.items())
+        if once:
+            ratio += once * math.log(once / total / (1 - sum(map(share, kept))))
+        if ratio - (len(kept) + (once > 0)) * math.log(total) / 2 > 0:
+            tree[c] = kept, total, once
 
     def p(c, w):
         if not c:
             return (words[w] + 0.1) / norm
-        n, total = tree[c]
-        return (n[w] + len(n) * p(c[1:], w)) / (total + len(n))
+        kept, total, once = tree[c]
+        kinds = len(kept) + once
+        return (kept.get(w, 0) + (kinds + once) * p(c[1:], w)) / (total + kinds)
 
     scores = {}
     for i, found in tokens.items():
