@@ -85,7 +85,7 @@ def test_run_is_all_stages(spark, stages):
 
 def test_registered_queries():
     names = list(llm_queries())
-    assert sorted(re.match(r"op\d+_|pipeline", n)[0] for n in names) == sorted([*(f"op{n}_" for n in range(1, 11)), "pipeline"])
+    assert sorted(re.match(r"op\d+_|pipeline", n)[0] for n in names) == sorted([*(f"op{n}_" for n in range(1, 14)), "pipeline"])
     assert set(llm_oracles()) <= set(names)
 
 
