@@ -102,8 +102,16 @@ class Blocks:
         """Sum of the terms' rows over the passage that begins with each block."""
         out = np.zeros((len(self.doc), rows.shape[1]), rows.dtype)
         if len(self.block):
+            # The first terms of all blocks, then the second terms, and so on: no block has over BLOCK.
             starts = np.flatnonzero(np.diff(self.block, prepend=-1))
-            out[self.block[starts]] = np.add.reduceat(rows[self.term], starts, axis=0)
+            n = np.diff(np.append(starts, len(self.block)))
+            order = np.argsort(-n, kind="stable")
+            starts, n = starts[order], n[order]
+            total = rows[self.term[starts]]
+            for k in range(1, n[0]):
+                more = np.searchsorted(-n, -k)
+                total[:more] += rows[self.term[starts[:more] + k]]
+            out[self.block[starts]] = total
         ends = np.flatnonzero(~self.joined[:-1])
         alone = out[ends]
         out[:-1] += out[1:]
@@ -237,6 +245,26 @@ def _places(item: list[bytes]) -> dict[bytes, int]:
     return found
 
 
+class Holders:
+    """Which items have which terms; counts an item's terms in documents."""
+
+    def __init__(self, own: list[set[int]], least: list[int], n_terms: int):
+        pairs = np.array([(t, i) for i, o in enumerate(own) for t in o], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.items, self.least = pairs[:, 1], np.array(least)
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(n_terms + 1))
+
+    def enough(self, part: Blocks, documents: int) -> np.ndarray:
+        """Of each document and item, whether the item's least number of its own terms is there."""
+        width = len(self.starts) - 1
+        seen = np.unique(part.doc[part.block] * width + part.term)
+        doc, term = seen // width, seen % width
+        n = self.starts[term + 1] - self.starts[term]
+        at = np.arange(n.sum()) + np.repeat(self.starts[term] - np.append(0, np.cumsum(n)[:-1]), n)
+        found = np.repeat(doc, n) * len(self.least) + self.items[at]
+        return np.bincount(found, minlength=documents * len(self.least)).reshape(documents, -1) >= self.least
+
+
 def _search(shared, field: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = shared.value
     ids, table, items = TermIds(model["terms"]), model["table"], model["items"]
@@ -246,8 +274,11 @@ def _search(shared, field: int | None, batches: Iterator[pa.RecordBatch]) -> Ite
     places = [_places(item) for item in items]
     answers = [_places(item[-ANSWER:]) for item in items]
     own = [{ids.numbers[t] for t in item if t in ids.numbers} for item in items]
+    # A word of the item that is nowhere in the text is missing in any common subsequence.
+    fewest = [math.ceil(PARAPHRASED * len(item)) - (len(item) - len(p)) for item, p in zip(items, places, strict=True)]
     # Of the item's words so many are missed at most; its own terms can make up for no more.
     least = [max(1, math.ceil(PARAPHRASED * len(item)) - (len(item) - len(o))) for item, o in zip(items, own, strict=True)]
+    holders = Holders(own, least, len(ids.numbers))
     term_of = Terms()
     kind = pa.list_(pa.struct([("item", pa.int32()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_())]))
     for batch in batches:
@@ -264,23 +295,32 @@ def _search(shared, field: int | None, batches: Iterator[pa.RecordBatch]) -> Ite
             norms[norms == 0] = np.inf
             begins = np.zeros(len(norms), bool)
             begins[part.windows] = True
+            enough = holders.enough(part, len(documents))
+            term_list, owner = part.term.tolist(), part.doc.tolist()
+            start_of = np.searchsorted(part.block, np.arange(len(norms) + 1)).tolist()
+            first_of, last_of = first.tolist(), last.tolist()
             for some in range(0, len(norms), 4096):
                 dots = vectors[some : some + 4096] @ latent.T
                 near_enough = (dots >= COSINE * norms[some : some + 4096, None]) & begins[some : some + 4096, None]
-                for w, i in zip(*np.nonzero(near_enough), strict=True):
-                    block, item = int(some + w), items[i]
-                    d = int(part.doc[block])
+                at_block, at_item = np.nonzero(near_enough)
+                keep = enough[part.doc[some + at_block], at_item]
+                for w, i in zip(at_block[keep].tolist(), at_item[keep].tolist(), strict=True):
+                    block, item = some + w, items[i]
+                    d = owner[block]
                     known = best[d].get(i)
                     if known is not None and known[1] == 1.0:
                         continue
                     margin = max(BLOCK, len(item))
                     around = -(-margin // BLOCK)
-                    lo, hi = np.searchsorted(part.block, [max(first[d], block - around), min(last[d], block + 2 + around)])
-                    if len(own[i].intersection(part.term[lo:hi].tolist())) < least[i]:
+                    lo = start_of[max(first_of[d], block - around)]
+                    hi = start_of[min(last_of[d], block + 2 + around)]
+                    if len(own[i].intersection(term_list[lo:hi])) < least[i]:
                         continue
-                    at = int(block - first[d]) * BLOCK
+                    at = (block - first_of[d]) * BLOCK
                     near = documents[d][max(0, at - margin) : at + 2 * BLOCK + margin]
                     near = [t for t in map(term_of.__getitem__, near) if t]
+                    if len(places[i].keys() & near) < fewest[i]:
+                        continue
                     share = common_subsequence(places[i], len(item), near) / len(item)
                     if share < PARAPHRASED:
                         continue

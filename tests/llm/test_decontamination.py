@@ -1,0 +1,61 @@
+"""Which passages are compared word by word, and what blocks add up to."""
+
+from types import SimpleNamespace
+
+import basketflow.llm.decontamination as decontamination
+import numpy as np
+import pyarrow as pa
+
+
+def test_only_passages_with_enough_words_of_the_item_are_aligned(monkeypatch):
+    """Four items share twelve words and have eight of their own, of which texts have one or all."""
+    shared = [b"s%d" % k for k in range(12)]
+    items = [shared + [b"i%dw%d" % (i, k) for k in range(8)] for i in range(4)]
+    chosen = decontamination.vocabulary(items)
+    table = np.eye(len(chosen), decontamination.RANK, dtype=np.float32)
+    # One own word, whose cosine is 0.35 by itself, and two, whose cosine suffices.
+    near = [b" ".join([b"plain"] * 10 + item[-n:]).decode() for item in items for n in (1, 2, 3)]
+    whole = [b" ".join([b"plain"] * 10 + item).decode() for item in items]
+    aligned = []
+    align = decontamination.common_subsequence
+
+    def counting(places, length, text):
+        aligned.append(text)
+        return align(places, length, text)
+
+    monkeypatch.setattr(decontamination, "common_subsequence", counting)
+    shared_value = SimpleNamespace(value={"terms": chosen, "table": table, "items": items, "numbers": [0, 1, 2, 3]})
+    rows = pa.StructArray.from_arrays([pa.array(near + whole + [None, ""])], ["text"])
+    batch = pa.RecordBatch.from_arrays([rows], ["row"])
+    (found,) = decontamination._search(shared_value, 0, iter([batch]))
+    hits = [[h["item"] for h in r] for r in found.column("hits").to_pylist()]
+    assert hits == [[]] * len(near) + [[i] for i in range(4)] + [[], []]
+    assert all(len(set(text)) > 12 for text in aligned)
+
+
+def test_items_with_enough_terms_in_a_document():
+    ids = decontamination.TermIds([b"a", b"b", b"c", b"d"])
+    documents = [b"a b b x".split(), [], b"c d a".split(), b"b b b".split()]
+    part = decontamination.cut(documents, ids)
+    holders = decontamination.Holders([{0, 1}, {1, 2, 3}, {3}, set()], [2, 2, 1, 1], 4)
+    assert holders.enough(part, 4).tolist() == [
+        [True, False, False, False], [False] * 4, [False, True, True, False], [False] * 4,
+    ]
+    nothing = decontamination.cut([[], []], ids)
+    assert not holders.enough(nothing, 2).any()
+
+
+def test_sums_of_passages():
+    rng = np.random.default_rng(3)
+    names = [b"t%d" % k for k in range(9)]
+    ids = decontamination.TermIds(names)
+    rows = rng.standard_normal((9, 5)).astype(np.float32)
+    documents = [[names[k] if k < 9 else b"other" for k in rng.integers(0, 12, n)] for n in (0, 1, 24, 25, 200, 0, 49)]
+    part = decontamination.cut(documents, ids)
+    wanted = []
+    for words in documents:
+        numbers = ids.of(words)
+        blocks = [numbers[at : at + decontamination.BLOCK] for at in range(0, max(len(words), 1), decontamination.BLOCK)]
+        single = [rows[b[b >= 0]].sum(axis=0) for b in blocks]
+        wanted += [single[k] + (single[k + 1] if k + 1 < len(single) else 0) for k in range(len(single))]
+    assert np.allclose(part.sums(rows), wanted, atol=1e-4)
