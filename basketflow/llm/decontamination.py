@@ -30,6 +30,7 @@ LEAST_TERMS = 8
 #: Items that are searched for at once; more are searched for block by block.
 ITEMS = 5000
 _SLICES, _PARTS = 16, 64
+_FEW = 8  # terms of a block that are added with those of other blocks
 _STRIP = b".,;:!?\"'()[]"
 
 
@@ -102,15 +103,25 @@ class Blocks:
         """Sum of the terms' rows over the passage that begins with each block."""
         out = np.zeros((len(self.doc), rows.shape[1]), rows.dtype)
         if len(self.block):
-            # The first terms of all blocks, then the second terms, and so on: no block has over BLOCK.
             starts = np.flatnonzero(np.diff(self.block, prepend=-1))
             n = np.diff(np.append(starts, len(self.block)))
-            order = np.argsort(-n, kind="stable")
+            many = n > _FEW
+            if many.any():
+                at = np.flatnonzero(np.repeat(many, n))
+                first = np.append(0, np.cumsum(n[many])[:-1])
+                out[self.block[starts[many]]] = np.add.reduceat(rows[self.term[at]], first, axis=0)
+            # Of the others the second terms of all blocks, the third terms, and so on; then the first,
+            # which is the order of reduceat.
+            order = np.flatnonzero(~many)
+            order = order[np.argsort(-n[order], kind="stable")]
             starts, n = starts[order], n[order]
-            total = rows[self.term[starts]]
-            for k in range(1, n[0]):
+            several = np.searchsorted(-n, -1)
+            rest = rows[self.term[starts[:several] + 1]]
+            for k in range(2, n[0] if len(n) else 0):
                 more = np.searchsorted(-n, -k)
-                total[:more] += rows[self.term[starts[:more] + k]]
+                rest[:more] += rows[self.term[starts[:more] + k]]
+            total = rows[self.term[starts]]
+            total[:several] += rest
             out[self.block[starts]] = total
         ends = np.flatnonzero(~self.joined[:-1])
         alone = out[ends]
