@@ -81,3 +81,59 @@ def test_contexts_of_rarer_words_count(spark):
     docs = spark.createDataFrame(text, "doc_id long, text string")
     for r in suffix_tree.lm_scores(docs).collect():
         assert r.score > 0.6 * r.base_score
+
+
+def test_contexts_over_several_buckets(spark, monkeypatch):
+    """Many buckets, many groups of texts, and contexts spread over several buckets give the same scores."""
+    monkeypatch.setattr(suffix_tree, "AT_HAND", 100)
+    monkeypatch.setattr(suffix_tree, "_BUCKET", 400)
+    monkeypatch.setattr(suffix_tree, "_CELLS", 5_000)
+    monkeypatch.setattr(suffix_tree, "KNOWN", 50)
+    rng = np.random.default_rng(3)
+
+    def text(n):
+        found = [1, 2]
+        while len(found) < n:
+            found.append((3 * found[-1] + found[-2] + int(rng.integers(2))) % 15 if rng.random() < 0.9 else int(rng.integers(2000)))
+        return " ".join(f"w{k}" for k in found)
+
+    texts = {i: text(120) for i in range(150)} | {150: "", 151: "w1 " * 900}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in suffix_tree.lm_scores(docs).collect()}
+    held = {i for i, r in found.items() if r.held_out}
+    wanted, tree = plain_scores(texts, held)
+    assert max(map(len, tree)) > 1
+    words = {w for i, t in texts.items() if i not in held for w in t.split()}
+    for i, r in found.items():
+        assert math.isclose(r.score, wanted[i], rel_tol=1e-7), i
+        assert r.n_known == 1 + sum(w in words for w in texts[i].split())
+
+
+def test_frequent_contexts_are_spread(spark, monkeypatch):
+    """No bucket has all that follows a word which makes up a third of the corpus."""
+    monkeypatch.setattr(suffix_tree, "_BUCKET", 1_000)
+    text = spark.createDataFrame([(" ".join(f"the w{(i * 97 + k) % 800} x{k % 7}" for k in range(100)),) for i in range(60)], "text string")
+    known, counts = suffix_tree.count_words(text)
+    candidates = counts.where("c >= 30").selectExpr("h AS context", "c AS n")
+    counted, _ = suffix_tree._counted(text, candidates, [1], 30, known.train_tokens)
+    cells = counted.where(f"context = {suffix_tree.word_hash(b'the')}L").collect()
+    assert sum(r.n for r in cells) == 6000
+    assert sum(r.next is None for r in cells) != 1 and len({r.next for r in cells if r.next}) == 800
+
+
+def test_no_row_for_each_run(spark, monkeypatch):
+    """What is not at hand is asked for once by a group of texts, and not joined run by run."""
+    monkeypatch.setattr(suffix_tree, "AT_HAND", 0)
+    docs = spark.createDataFrame([(i, "a b c d " * 40) for i in range(40)], "doc_id long, text string")
+    plan = suffix_tree.lm_scores(docs)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    keys, times, at = np.repeat([5, -7], 300), 300, np.tile(np.arange(300), 2)
+    rows = list(suffix_tree._asked(0, [(keys, at)], 1))
+    assert len(rows) == 1 and np.frombuffer(rows[0][2], np.int64).tolist() == [5, -7]
+    assert np.frombuffer(rows[0][3], np.int32).tolist() == [times, times]
+
+
+def test_buckets_are_those_of_sql(spark):
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63, 1000)
+    frame = spark.createDataFrame([(int(k),) for k in keys], "key long").selectExpr(suffix_tree.in_bucket("key", 37))
+    assert [r.bucket for r in frame.collect()] == suffix_tree.bucket_of(keys, 37).tolist()
