@@ -127,7 +127,7 @@ def test_no_row_for_each_run(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b c d " * 40) for i in range(40)], "doc_id long, text string")
     plan = suffix_tree.lm_scores(docs)._jdf.queryExecution().toString()
     assert "Join" not in plan and "Generate" not in plan
-    keys, times, at = np.repeat([5, -7], 300), 300, np.tile(np.arange(300), 2)
+    keys, times, at = np.repeat([5, -7], 300), 300, np.tile(np.arange(300, dtype=np.int32), 2)
     rows = list(suffix_tree._asked(0, [(keys, at)], 1))
     assert len(rows) == 1 and np.frombuffer(rows[0][2], np.int64).tolist() == [5, -7]
     assert np.frombuffer(rows[0][3], np.int32).tolist() == [times, times]
