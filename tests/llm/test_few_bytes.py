@@ -12,10 +12,10 @@ def test_cut_finds_the_words(monkeypatch):
     odd = [f" a{chr(c)}B\t{chr(c)}" for c in [*range(0x300), 0x1680, 0x2028, 0x3000, 0xFEFF]]
     column = pa.array([None, "", " \n", "x", *odd, "É Àb \x1c\x1f c", None])
     wanted = [[suffix_tree.word_hash(w) for w in words(t)] for t in texts(column)]
-    for size in (1, 7, 1 << 21):
+    for size, kind in ((1, pa.string()), (7, pa.large_string()), (1 << 21, pa.string())):
         monkeypatch.setattr(suffix_tree, "_CUT", size)
         for skipped in (0, 5):
-            some = list(suffix_tree.cut(column.slice(skipped)))
+            some = list(suffix_tree.cut(column.cast(kind).slice(skipped)))
             found = [h for hashes, of, _ in some for h in hashes[of].tolist()]
             lengths = [n for _, _, each in some for n in each.tolist()]
             assert lengths == [len(w) for w in wanted[skipped:]]
